@@ -44,7 +44,7 @@ STATE_LIMIT = 150_000
 CHUNK = 128
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
-_END = "￿"
+_END = "\uffff"
 _NEVER = 1 << 40
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
