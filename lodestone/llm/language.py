@@ -306,3 +306,16 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([ids, pred, pa.array(score), pa.array(parts, kind)], names=["doc_id", "lang_pred", "score", "spans"])
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SPANS_SCHEMA if spans else SCHEMA)
+
+
+def filter_language(docs: DataFrame, min_score: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose text has a language with at least this score, with their own columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(shared.value)
+        for rows, data, offsets in text_blocks(batches, text_col, 4 * tc.BLOCK_BYTES):
+            _, _, lang, score = labeller.label(data, offsets)
+            yield rows.filter(pa.array((lang >= 0) & (score >= min_score)))
+
+    return docs.mapInArrow(run, docs.schema)

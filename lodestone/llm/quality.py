@@ -46,32 +46,30 @@ def bare(word: Column) -> Column:
     return F.btrim(F.lower(word), F.lit(".,;:'\"()-"))
 
 
-def windows_of(hashes: Column) -> Column:
-    """A hash and the place of each three-word window, from the hashes of the words."""
-    windows = F.transform(hashes, lambda h, i: F.struct(F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)).alias("h"), i.alias("i")))
-    return F.slice(windows, 1, F.greatest(F.size(hashes) - 2, F.lit(0)))
-
-
-def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's counts: words, characters in words, symbols, repeated lines, repeated words."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("_text", text).withColumn("_words", words_of(F.col("_text")))
-    df = df.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    df = df.withColumn("_windows", windows_of(F.col("_hashes")))
-    df = df.withColumn("_sorted", F.sort_array("_windows"))
-    s = F.col("_sorted")
-    covered = F.filter(s, lambda x, k: (F.get(s, k - 1)["h"].eqNullSafe(x["h"])) | (F.get(s, k + 1)["h"].eqNullSafe(x["h"])))
-    places = F.array_distinct(F.flatten(F.transform(covered, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
-    df = df.withColumn("_lines", lines)
-    return df.select(
-        "*",
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(F.size(places), F.lit(0)).cast("long").alias("n_repeat_words"),
-    ).drop("_hashes", "_windows", "_sorted", "_lines")
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once and only where it is needed."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def repeated_words(words: Column) -> Column:
+    """How many words lie in three-word windows that occur twice or more in the text."""
+
+    def covered(windows: Column) -> Column:
+        def count(s: Column) -> Column:
+            twice = F.filter(s, lambda x, k: F.get(s, k - 1)["h"].eqNullSafe(x["h"]) | F.get(s, k + 1)["h"].eqNullSafe(x["h"]))
+            return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+
+        return let(F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), count)
+
+    def windows(h: Column) -> Column:
+        return F.slice(F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))), 1, F.greatest(F.size(h) - 2, F.lit(0)))
+
+    return let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(covered(w)))
+
+
+def class_counts(text: Column) -> list[Column]:
+    """Characters of each class in a text."""
+    return [F.regexp_count(text, F.lit(r)).cast("long").alias(f"_{c}") for c, r in CLASSES.items()] + [F.length(text).cast("long").alias("_chars"), F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]")).cast("long").alias("_white")]
 
 
 def common_words(docs: DataFrame, k: int = COMMON_WORDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -93,31 +91,40 @@ def js_terms(p: Column, q: Column) -> Column:
     return (part(p) + part(q)) / 2
 
 
-def features(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base counts, class counts and the counts of the vocabulary's words, without the text."""
-    df = base_columns(docs, id_col, text_col)
-    df = df.select("*", *[F.regexp_count("_text", F.lit(r)).cast("long").alias(f"_{c}") for c, r in CLASSES.items()], F.length("_text").cast("long").alias("_chars"))
+def with_counts(df: DataFrame, text: str, vocabulary: list[str]) -> DataFrame:
+    """Add the base counts, the class counts and the counts of the vocabulary's words of a non-null text column."""
+    df = df.withColumn("_words", words_of(F.col(text))).withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))))
     listed = F.filter(F.transform("_words", bare), lambda w: w.isin(vocabulary)) if vocabulary else F.array().cast("array<string>")
-    df = df.withColumn("_listed", F.sort_array(listed))
-    s = F.col("_listed")
-    ends = F.filter(F.transform(s, lambda w, k: F.struct(w.alias("w"), (k + 1).alias("at"))), lambda x: ~F.get(s, x["at"]).eqNullSafe(x["w"]))
-    df = df.withColumn("_ends", ends)
-    e = F.col("_ends")
-    runs = F.transform(e, lambda x, k: F.struct(x["w"].alias("w"), (x["at"] - F.coalesce(F.get(e, k - 1)["at"], F.lit(0))).cast("double").alias("n")))
-    return df.withColumn("_common", runs).drop("_text", "_words", "_listed", "_ends", text_col)
+    df = df.select(
+        "*",
+        F.size("_words").cast("long").alias("n_words"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("_words")).cast("long").alias("n_repeat_words"),
+        *class_counts(F.col(text)),
+        F.sort_array(listed).alias("_listed"),
+    ).drop("_words", "_lines")
+
+    def runs(s: Column) -> Column:
+        ends = F.filter(F.transform(s, lambda w, k: F.struct(w.alias("w"), (k + 1).alias("at"))), lambda x: ~F.get(s, x["at"]).eqNullSafe(x["w"]))
+        return let(ends, lambda e: F.transform(e, lambda x, k: F.struct(x["w"].alias("w"), (x["at"] - F.coalesce(F.get(e, k - 1)["at"], F.lit(0))).cast("double").alias("n"))))
 
+    return df.withColumn("_common", runs(F.col("_listed"))).drop("_listed")
 
-def references(saved: DataFrame, top: DataFrame, min_words: int = MIN_REFERENCE_WORDS) -> dict[str, tuple[dict[str, float], dict[str, float]]]:
+
+def references(docs: DataFrame, top: DataFrame, text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_REFERENCE_WORDS) -> dict[str, tuple[dict[str, float], dict[str, float]]]:
     """Of each language the shares of the classes and of its common words; a few numbers a language."""
     words: dict[str, dict[str, float]] = {}
     for r in top.collect():
         if r["words"] >= min_words:
             words.setdefault(r["lang"], {})[r["word"]] = r["n"] / r["words"]
-    sums = saved.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.sum("_chars").alias("_chars"), F.sum("word_chars").alias("word_chars"), *[F.sum(f"_{c}").alias(f"_{c}") for c in CLASSES])
+    names = [*(f"_{c}" for c in CLASSES), "_chars", "_white"]
+    sums = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), *class_counts(F.col(text_col))).groupBy("lang").agg(*[F.sum(c).alias(c) for c in names])
     out = {}
     for r in sums.collect():
         if r["lang"] in words and r["_chars"]:
-            counts = {c: r[f"_{c}"] for c in CLASSES} | {"white": r["_chars"] - r["word_chars"]}
+            counts = {c: r[f"_{c}"] for c in [*CLASSES, "white"]}
             counts["rest"] = r["_chars"] - sum(counts.values())
             out[r["lang"]] = ({c: max(n, 0) / r["_chars"] for c, n in counts.items()}, words[r["lang"]])
     return out
@@ -126,7 +133,7 @@ def references(saved: DataFrame, top: DataFrame, min_words: int = MIN_REFERENCE_
 def class_distance(shares: dict[str, float]) -> Column:
     """Distance of the row's class histogram from a reference's."""
     chars = F.greatest(F.col("_chars"), F.lit(1)).cast("double")
-    own = {c: F.col(f"_{c}") / chars for c in CLASSES} | {"white": (F.col("_chars") - F.col("word_chars")) / chars}
+    own = {c: F.col(f"_{c}") / chars for c in [*CLASSES, "white"]}
     own["rest"] = F.greatest(F.lit(0.0), F.lit(1.0) - reduce(lambda a, b: a + b, own.values()))
     return F.sqrt(F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, [js_terms(p, F.lit(shares[c])) for c, p in own.items()])))
 
@@ -144,22 +151,37 @@ def word_distance(shares: dict[str, float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.element_at(F.transform(F.array(sums), lambda a: a["d"] + F.greatest(F.lit(0.0), all_q - a["q"]) / 2 + other(a)), 1)))
 
 
-def judge(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Each row's counts, its nearest language, the two distances from it, and the verdict."""
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    top = save(common_words(plain))
+def judged(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` with each row's counts, its nearest language (``near_lang``), the two distances from it, and the verdict."""
+    top = save(common_words(docs, text_col=text_col, lang_col=lang_col))
     vocabulary = sorted(r["word"] for r in top.select("word").distinct().collect())
-    saved = save(features(plain, vocabulary))
-    refs = references(saved, top)
+    refs = references(docs, top, text_col, lang_col)
+    df = with_counts(docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))), "_text", vocabulary)
     options = F.array(*[F.struct(word_distance(w).alias("word"), class_distance(c).alias("cls"), F.lit(lang).alias("near")) for lang, (c, w) in sorted(refs.items())])
-    ranked = F.transform(options, lambda o: F.struct(F.greatest(o["word"] / max_word, o["cls"] / max_class).alias("worst"), o["word"].alias("word"), o["cls"].alias("cls"), o["near"].alias("near")))
-    best = saved.withColumn("_best", F.array_min(ranked) if refs else F.lit(None).cast("struct<worst:double,word:double,cls:double,near:string>"))
+    near = F.transform(options, lambda o: F.struct(F.greatest(o["word"] / max_word, o["cls"] / max_class).alias("worst"), o["word"].alias("word"), o["cls"].alias("cls"), o["near"].alias("near")))
+    df = df.withColumn("_best", F.array_min(near) if refs else F.lit(None).cast("struct<worst:double,word:double,cls:double,near:string>"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return best.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    added = [
         failed.alias("base_failed"),
         (~failed & (F.coalesce(F.col("_best.worst"), F.lit(0.0)) <= 1.0)).alias("kept"),
         F.col("_best.near").alias("near_lang"),
         F.round("_best.cls", 6).alias("class_distance"),
         F.round("_best.word", 6).alias("word_distance"),
-    )
+    ]
+    return df.select(*docs.columns, *BASE, *added)
+
+
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The verdicts without the texts."""
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    return judged(plain).drop("text", "lang")
+
+
+def filter_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their own columns only."""
+    own = [F.col(c).alias(f"_own_{c}") for c in docs.columns]
+    plain = docs.select(*own, F.col(text_col).alias("_t"), F.col(lang_col).alias("_l"))
+    return judged(plain, text_col="_t", lang_col="_l").where("kept").select(*[F.col(f"_own_{c}").alias(c) for c in docs.columns])

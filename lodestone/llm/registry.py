@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe_reuse, fingerprints, html_extract, language, neardup, packing, quality, sharding, token_counts
+from lodestone.llm import bpe_reuse, fingerprints, html_extract, language, linededup, neardup, packing, quality, sharding, token_counts
 from lodestone.llm.runtime import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +50,10 @@ def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

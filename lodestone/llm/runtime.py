@@ -18,16 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def save(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in
-    tests on one machine, a temporary one is made.
+    Only where that is unset, as in tests on one machine, a temporary one is made.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def save(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and cut its lineage there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
