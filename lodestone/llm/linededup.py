@@ -135,11 +135,16 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated lines taken out of the texts, and the numbers of lines and of those removed (``n_lines``, ``n_removed``)."""
-    digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    gone = repeated_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), digest.alias("digest")), min_words)
-    per = gone.groupBy(F.col("doc").alias("_doc"), F.col("digest").alias("_digest")).agg(F.collect_set("line").alias("_gone"))
-    joined = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("_own", digest).join(per, (F.col("_key") == F.col("_doc")) & (F.col("_own") == F.col("_digest")), "left")
-    lines = F.split(F.col(text_col), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n"))
-    return joined.withColumn("n_lines", F.when(F.length(F.coalesce(F.col(text_col), F.lit(""))) == 0, 0).otherwise(F.size(lines)).cast("long")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).withColumn(text_col, text).drop("_key", "_own", "_doc", "_digest", "_gone")
+    """``docs`` with the repeated lines taken out of the texts, and the numbers of lines and of those removed (``n_lines``, ``n_removed``, in place of any such columns)."""
+    digest = lambda text: F.xxhash64(F.coalesce(text, F.lit("")))
+    gone = repeated_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), digest(F.col(text_col)).alias("digest")), min_words)
+    per = gone.groupBy("doc", "digest").agg(F.collect_set("line").alias("gone"))
+    # The rows travel as one struct, so no column of theirs can clash.
+    rows = docs.select(F.struct("*").alias("row")).withColumn("key", F.coalesce(F.col("row")[id_col].cast("long"), F.lit(LAST))).withColumn("own", digest(F.col("row")[text_col]))
+    joined = rows.join(per, (F.col("key") == F.col("doc")) & (F.col("own") == F.col("digest")), "left")
+    whole = F.col("row")[text_col]
+    lines = F.split(whole, "\n")
+    text = F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
+    n = F.when(F.length(F.coalesce(whole, F.lit(""))) == 0, 0).otherwise(F.size(lines)).cast("long")
+    kept = [(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*kept, n.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -268,6 +268,7 @@ def _texts(plain: DataFrame, pairs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` of which none with a lesser id is a near-duplicate; rows equal in id and text become one, rows with a null id stay."""
     kept = near_duplicates(docs, percent, words, id_col, text_col).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).withColumn("_text", F.xxhash64(text_col))
-    own = named.join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col, "_text"]).drop("_text")
-    return own.unionByName(docs.where(F.col(id_col).isNull()))
+    rows = docs.select(F.struct("*").alias("row")).withColumn("id", F.col("row")[id_col].cast("long")).withColumn("digest", F.xxhash64(F.col("row")[text_col]))
+    own = rows.where("id IS NOT NULL").join(kept, F.col("id") == F.col("_kept"), "left_semi").dropDuplicates(["id", "digest"])
+    both = own.union(rows.where("id IS NULL"))
+    return both.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -156,10 +156,12 @@ def judged(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: flo
     top = save(common_words(docs, text_col=text_col, lang_col=lang_col))
     vocabulary = sorted(r["word"] for r in top.select("word").distinct().collect())
     refs = references(docs, top, text_col, lang_col)
-    df = with_counts(docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))), "_text", vocabulary)
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    df = with_counts(rows, "_text", vocabulary)
+    none = F.lit(None).cast("struct<worst:double,word:double,cls:double,near:string>")
     options = F.array(*[F.struct(word_distance(w).alias("word"), class_distance(c).alias("cls"), F.lit(lang).alias("near")) for lang, (c, w) in sorted(refs.items())])
-    near = F.transform(options, lambda o: F.struct(F.greatest(o["word"] / max_word, o["cls"] / max_class).alias("worst"), o["word"].alias("word"), o["cls"].alias("cls"), o["near"].alias("near")))
-    df = df.withColumn("_best", F.array_min(near) if refs else F.lit(None).cast("struct<worst:double,word:double,cls:double,near:string>"))
+    near = lambda xs: F.transform(xs, lambda o: F.struct(F.greatest(o["word"] / max_word, o["cls"] / max_class).alias("worst"), o["word"].alias("word"), o["cls"].alias("cls"), o["near"].alias("near")))
+    df = df.withColumn("_best", F.array_min(near(options)) if refs else none)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     added = [
         failed.alias("base_failed"),
@@ -168,7 +170,8 @@ def judged(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: flo
         F.round("_best.cls", 6).alias("class_distance"),
         F.round("_best.word", 6).alias("word_distance"),
     ]
-    return df.select(*docs.columns, *BASE, *added)
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in (*BASE, "base_failed", "kept", "near_lang", "class_distance", "word_distance")]
+    return df.select(*own, *BASE, *added)
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

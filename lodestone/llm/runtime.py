@@ -68,7 +68,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text: str, size: int = tc.BLO
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that an operator reads, under fixed names; other columns stay unread."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
