@@ -73,13 +73,16 @@ def fit_to_budget(variants: DataFrame, limit: int, measure=None) -> DataFrame:
     state = variants.where("level = 0").select("path", "level", "tokens", "rank", "focused").cache()
     size = measure or (lambda s: s.agg(F.sum("tokens")).first()[0] or 0)
     for phase in ("skeleton", "docs", "bare", "outline", "omitted"):
-        gap = size(state) - limit
-        if gap <= 0:
-            break
         to = variants.where(F.col("name") == phase).select("path", F.col("level").alias("to"), F.col("tokens").alias("left"))
         bonus = FILE_OVERHEAD if phase == "omitted" else 0
-        moves = state.where("NOT focused").join(to, "path").where("to > level").withColumn("saving", F.col("tokens") - F.col("left") + bonus).where("saving > 0")
         order = [F.col("rank"), F.desc("saving"), F.col("path")] if phase == "omitted" else [F.desc("saving"), F.col("path")]
-        chosen = prefix_until(moves, order, "saving", gap).select("path", "to", "left")
-        state = state.join(chosen, "path", "left").select("path", F.coalesce("to", "level").alias("level"), F.coalesce("left", "tokens").alias("tokens"), "rank", "focused").cache()
+        # Savings are estimates: measure again after each batch, until it fits or nothing moves.
+        while (gap := size(state) - limit) > 0:
+            moves = state.where("NOT focused").join(to, "path").where("to > level").withColumn("saving", F.col("tokens") - F.col("left") + bonus).where("saving > 0")
+            chosen = prefix_until(moves, order, "saving", gap).select("path", "to", "left").cache()
+            if chosen.isEmpty():
+                break
+            state = state.join(chosen, "path", "left").select("path", F.coalesce("to", "level").alias("level"), F.coalesce("left", "tokens").alias("tokens"), "rank", "focused").cache()
+        if gap <= 0:
+            break
     return state.select("path", "level", "tokens")
