@@ -286,7 +286,7 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
         names = np.array([*shared.value.langs, "und"], object)
-        for rows, data, offsets in text_blocks(batches, "text", 4 * tc.BLOCK_BYTES):
+        for rows, data, offsets in text_blocks(batches, "text"):
             w, path, lang, score = labeller.label(data, offsets)
             ids = rows.column(rows.schema.get_field_index("doc_id"))
             doc = np.repeat(np.arange(len(offsets) - 1), np.diff(w.bounds))
@@ -298,7 +298,7 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([ids, pa.array(_ids(ids)), pred, pa.array(score), pa.array(n, pa.int32())], names=["doc_id", "held_out", "lang_pred", "score", "n_spans"])
                 continue
             at = np.flatnonzero(new)
-            last = np.append(at[1:], len(path)) - 1
+            last = np.append(at[1:], len(path))[: len(at)] - 1
             parts: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
             for d, a, b, x in zip(doc[at].tolist(), w.start[at].tolist(), w.end[last].tolist(), names[path[at]].tolist()):
                 parts[d].append({"start": a - int(offsets[d]), "end": b - int(offsets[d]), "lang": x})
@@ -314,8 +314,8 @@ def filter_language(docs: DataFrame, min_score: float = 0.0, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
-        for rows, data, offsets in text_blocks(batches, text_col, 4 * tc.BLOCK_BYTES):
+        for rows, data, offsets in text_blocks(batches, text_col):
             _, _, lang, score = labeller.label(data, offsets)
             yield rows.filter(pa.array((lang >= 0) & (score >= min_score)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
