@@ -1,8 +1,8 @@
 """Quality rules by the divergence of a document's histograms from those of its language.
 
-Two histograms are taken of each whole text: of character classes (lower and upper letters,
-numbers, marks of punctuation, symbols, white space, the rest), and of common words (the
-``COMMON_WORDS`` most frequent words of each language, and all other words as one bin).
+Two histograms are taken of each whole text: of character classes (upper-case letters, digits,
+marks of punctuation, symbols, blanks, the rest), and of common words (the ``COMMON_WORDS``
+most frequent words of ``COMMON_LENGTH`` letters or fewer of each language, and all other words as one bin).
 References come from all documents of each non-null ``lang``: class counts and word
 counts summed over the whole corpus. A document is compared with each reference by
 Jensen-Shannon distance (base 2, 0 to 1) and passes if one language is near enough in
@@ -29,11 +29,12 @@ from lodestone.llm.runtime import save
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 COMMON_WORDS = 32
+COMMON_LENGTH = 6
 MIN_REFERENCE_WORDS = 2000
 MAX_CLASS_DISTANCE = 0.26
 MAX_WORD_DISTANCE = 0.445
 WHITE = r"[\x20\x09-\x0D]+"
-CLASSES = {"upper": r"\p{Lu}", "lower": r"\p{Ll}", "number": r"\p{N}", "mark": r"[.,;:'\"()\-]", "symbol": r"[#*$%&|<>!?=_/\\+~^@\[\]{}`]"}
+CLASSES = {"upper": r"\p{Lu}", "number": r"[0-9]", "mark": r"[.,;:'\"()\-]", "symbol": r"[#*$%&|<>!?=_/\\+~^@\[\]{}`]"}
 
 
 def words_of(text: Column) -> Column:
@@ -41,9 +42,9 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WHITE), lambda w: w != "")
 
 
-def bare(word: Column) -> Column:
-    """A word in lower case without the usual marks around it."""
-    return F.btrim(F.lower(word), F.lit(".,;:'\"()-"))
+def bare_words(text: Column) -> Column:
+    """The words of a text in lower case, parted at white space and the usual marks."""
+    return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D.,;:'\"()\-]+"), lambda w: w != "")
 
 
 def let(value: Column, body) -> Column:
@@ -69,19 +70,20 @@ def repeated_words(words: Column) -> Column:
 
 def class_counts(text: Column) -> list[Column]:
     """Characters of each class in a text."""
-    return [F.regexp_count(text, F.lit(r)).cast("long").alias(f"_{c}") for c, r in CLASSES.items()] + [F.length(text).cast("long").alias("_chars"), F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]")).cast("long").alias("_white")]
+    blanks = F.length(text) - F.length(F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")))
+    return [F.regexp_count(text, F.lit(r)).cast("long").alias(f"_{c}") for c, r in CLASSES.items()] + [F.length(text).cast("long").alias("_chars"), blanks.cast("long").alias("_white")]
 
 
 def common_words(docs: DataFrame, k: int = COMMON_WORDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The ``k`` most frequent words of each language with their counts, and the language's words in all."""
-    words = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(words_of(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
-    counts = words.select("lang", bare(F.col("w")).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    """The ``k`` most frequent words of at most ``COMMON_LENGTH`` characters of each language, with their counts over all documents."""
+    short = F.filter(bare_words(F.coalesce(F.col(text_col), F.lit(""))), lambda w: F.length(w) <= COMMON_LENGTH)
+    words = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(short).alias("word"))
+    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     # The best k of each hash part first, so no task sorts a language's whole vocabulary.
+    order = [F.desc("n"), F.col("word")]
     part = counts.withColumn("_part", F.pmod(F.xxhash64("word"), F.lit(64)))
-    first = part.withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(F.desc("n"), "word"))).where(f"_r <= {k + 1}")
-    best = first.where("word <> ''").withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(f"_r <= {k}")
-    total = counts.groupBy("lang").agg(F.sum("n").alias("words"))
-    return best.join(total, "lang").select("lang", "word", "n", "words")
+    first = part.withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).where(f"_r <= {k}")
+    return first.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(f"_r <= {k}").select("lang", "word", "n")
 
 
 def js_terms(p: Column, q: Column) -> Column:
@@ -94,7 +96,7 @@ def js_terms(p: Column, q: Column) -> Column:
 def with_counts(df: DataFrame, text: str, vocabulary: list[str]) -> DataFrame:
     """Add the base counts, the class counts and the counts of the vocabulary's words of a non-null text column."""
     df = df.withColumn("_words", words_of(F.col(text))).withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))))
-    listed = F.filter(F.transform("_words", bare), lambda w: w.isin(vocabulary)) if vocabulary else F.array().cast("array<string>")
+    listed = F.filter(bare_words(F.col(text)), lambda w: w.isin(vocabulary)) if vocabulary else F.array().cast("array<string>")
     df = df.select(
         "*",
         F.size("_words").cast("long").alias("n_words"),
@@ -115,18 +117,18 @@ def with_counts(df: DataFrame, text: str, vocabulary: list[str]) -> DataFrame:
 
 def references(docs: DataFrame, top: DataFrame, text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_REFERENCE_WORDS) -> dict[str, tuple[dict[str, float], dict[str, float]]]:
     """Of each language the shares of the classes and of its common words; a few numbers a language."""
-    words: dict[str, dict[str, float]] = {}
+    words: dict[str, dict[str, int]] = {}
     for r in top.collect():
-        if r["words"] >= min_words:
-            words.setdefault(r["lang"], {})[r["word"]] = r["n"] / r["words"]
-    names = [*(f"_{c}" for c in CLASSES), "_chars", "_white"]
-    sums = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), *class_counts(F.col(text_col))).groupBy("lang").agg(*[F.sum(c).alias(c) for c in names])
+        words.setdefault(r["lang"], {})[r["word"]] = r["n"]
+    names = [*(f"_{c}" for c in CLASSES), "_chars", "_white", "_n"]
+    own = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    sums = own.select(F.col(lang_col).alias("lang"), *class_counts(F.col(text_col)), F.size(bare_words(F.col(text_col))).cast("long").alias("_n")).groupBy("lang").agg(*[F.sum(c).alias(c) for c in names])
     out = {}
     for r in sums.collect():
-        if r["lang"] in words and r["_chars"]:
+        if r["lang"] in words and r["_n"] >= min_words:
             counts = {c: r[f"_{c}"] for c in [*CLASSES, "white"]}
             counts["rest"] = r["_chars"] - sum(counts.values())
-            out[r["lang"]] = ({c: max(n, 0) / r["_chars"] for c, n in counts.items()}, words[r["lang"]])
+            out[r["lang"]] = ({c: max(n, 0) / r["_chars"] for c, n in counts.items()}, {w: n / r["_n"] for w, n in words[r["lang"]].items()})
     return out
 
 
