@@ -9,7 +9,7 @@ from lodestone.corpus import CORPUS, LINKS, SPECS, corpus, links, specs, table
 from lodestone.functions import paths, words
 from lodestone.operators import fitting, graph, render, search, stats
 from lodestone.plans.files import _RANK, STRATEGY, strategies
-from lodestone.plans.registry import query
+from lodestone.plans.registry import ORACLES, query
 
 QUERY = "thing tests rendering the licensed éan parse_invoices"
 
@@ -359,6 +359,16 @@ def render_files(spark, sf_dir):
     return render.joined(df.select("source", "doc_id", block.alias("block")), "source", "doc_id", "block").select("source", F.sha1(F.encode("document", "UTF-8")).alias("digest"))
 
 
+_FENCE = "repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(original, '`+'), lambda x: length(x))), 0)))"
+
+
+@query("render_files_whole", ORACLES["render_files"].replace("left(original, 80)", "original").replace("'```'", _FENCE))
+def render_files_whole(spark, sf_dir):
+    df = strategies(spark, sf_dir).where("strategy <> 'minified'")
+    block = render.markdown_block(F.col("path"), render.note(F.col("strategy"), F.col("focused"), F.col("language")), paths.fence(F.col("path")), F.col("original"))
+    return render.joined(df.select("source", "doc_id", block.alias("block")), "source", "doc_id", "block").select("source", F.sha1(F.encode("document", "UTF-8")).alias("digest"))
+
+
 @query("render_xml_headers", f"WITH {STRATEGY} SELECT doc_id, '<file path=\"' || path || '\"' || CASE WHEN language IS NULL THEN '' ELSE ' language=\"' || language || '\"' END || ' strategy=\"' || strategy || '\"' || CASE WHEN focused THEN ' focus=\"true\"' ELSE '' END || '>' AS header FROM strategies")
 def render_xml_headers(spark, sf_dir):
     return strategies(spark, sf_dir).select("doc_id", render.xml_open(F.col("path"), F.col("language"), F.col("strategy"), F.col("focused"), F.lit(False)).alias("header"))

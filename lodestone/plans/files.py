@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.corpus import CORPUS, corpus, table
 from lodestone.functions import paths
 from lodestone.operators import filters, render, stats, transform
-from lodestone.plans.registry import query
+from lodestone.plans.registry import ORACLES, query
 
 RULES = filters.compile_rules(["src1/", "!src1/en/", "*.json", "!doc_1*.json", "/src2/fr/*.md", "tests/**/doc_?7.txt"]) + filters.compile_rules(["*.py", "!doc_9*"], base="src3", start=100)
 INCLUDE = ["src1", "src2/en/*.md"]
@@ -141,6 +141,11 @@ def xml_escape(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", transform.attribute(F.concat(F.lit('<"'), F.substring("text", 1, 200), F.lit("&>"))).alias("escaped"))
 
 
+@query("xml_escape_whole", ORACLES["xml_escape"].replace("substr(text, 1, 200)", "text"))
+def xml_escape_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", transform.attribute(F.concat(F.lit('<"'), "text", F.lit("&>"))).alias("escaped"))
+
+
 @query("code_fence", "SELECT doc_id, repeat('`', greatest(3, 1 + CAST(doc_id % 7 AS INT))) AS fence FROM documents")
 def code_fence(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", transform.code_fence(F.concat(F.lit("a "), F.repeat(F.lit("`"), F.expr("CAST(doc_id % 7 AS INT)")), F.lit(" "), "text")).alias("fence"))
@@ -234,6 +239,11 @@ def looks_like_code(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", transform.looks_like_code(F.expr(_COMMENT)).alias("code"))
 
 
+@query("looks_like_code_whole", ORACLES["looks_like_code"].replace("substr(text, 1, 300)", "text"))
+def looks_like_code_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", transform.looks_like_code(F.expr(_COMMENT.replace("substr(text, 1, 300)", "text"))).alias("code"))
+
+
 _HEADER = "concat(substr(text, 1, 260), '( a,', chr(10), '  b, )', chr(10), CASE doc_id % 4 WHEN 0 THEN ' = {' WHEN 1 THEN ' where' WHEN 2 THEN ' do begin' ELSE ';' END)"
 _ONE = f"regexp_replace(regexp_replace(regexp_replace({_HEADER}, '\\s+', ' ', 'g'), '([(\\[])\\s+', '\\1', 'g'), ',?\\s+([)\\]])', '\\1', 'g')"
 
@@ -243,6 +253,11 @@ def tidy_header(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", transform.tidy_header(F.expr(_HEADER)).alias("header"))
 
 
+@query("tidy_header_whole", ORACLES["tidy_header"].replace("substr(text, 1, 260)", "text"))
+def tidy_header_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", transform.tidy_header(F.expr(_HEADER.replace("substr(text, 1, 260)", "text"))).alias("header"))
+
+
 @query("embedded_regions", "SELECT page_id, CAST(u.i AS INT) AS n, r[u.i + 1] AS script FROM (SELECT page_id, regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1) AS r FROM pages) t, LATERAL (SELECT unnest(range(len(r))) AS i) u")
 def embedded_regions(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(transform.script_regions(F.col("html"))).alias("n", "script"))

@@ -135,3 +135,35 @@ def test_watch_differences(spark):
     a = spark.createDataFrame([("a", 1.0, 1), ("b", 1.0, 1), ("c", 1.0, 1)], schema)
     b = spark.createDataFrame([("a", 1.0, 1), ("b", 2.0, 1), ("d", 1.0, 1)], schema)
     assert {(r[0], r[1]) for r in differences(a, b).collect()} == {("b", "modified"), ("c", "removed"), ("d", "added")}
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """Documents whose ends say something else than their first few hundred characters."""
+    rows = [(k, "plain words\n" * 40 + f'<end k="{k}"> & ``````\n' + f"return f({k});\n" * 60, "en", "src", 0) for k in range(7)]
+    folder = str(tmp_path_factory.mktemp("long"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return folder, {r[0]: r[1] for r in rows}
+
+
+def test_whole_texts_are_escaped_judged_and_rendered(spark, long_texts):
+    import hashlib
+    import html
+    import re
+
+    from lodestone.plans import QUERIES
+
+    folder, texts = long_texts
+    got = {r["doc_id"]: r["escaped"] for r in QUERIES["xml_escape_whole"](spark, folder).collect()}
+    assert got == {k: html.escape(f'<"{t}&>').replace("&#x27;", "'") for k, t in texts.items()}
+    got = {r["doc_id"]: r["code"] for r in QUERIES["looks_like_code_whole"](spark, folder).collect()}
+    assert [got[k] for k in (3, 4)] == [True, True]
+    got = {r["doc_id"]: r["header"] for r in QUERIES["tidy_header_whole"](spark, folder).collect()}
+    assert got == {k: re.sub(r"\s+", " ", t)[:239] + "…" for k, t in texts.items()}
+    kinds = {0: ("md", "markdown"), 1: ("txt", "text"), 2: ("py", "python"), 3: ("ts", "ts"), 4: ("json", "json")}
+    blocks = []
+    for k, t in texts.items():
+        path = f"{'tests/' if k % 7 == 0 else ''}src/en/doc_{k}.{kinds[k % 5][0]}"
+        said = " [focus]" if k == 0 else "" if k % 5 in (2, 3) else " [truncated]"
+        blocks.append(f"### `{path}`{said}\n\n```````{kinds[k % 5][1]}\n{t}```````\n")
+    assert QUERIES["render_files_whole"](spark, folder).collect() == [("src", hashlib.sha1("\n".join(blocks).encode()).hexdigest())]
