@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestone.corpus import corpus, table
@@ -13,13 +14,29 @@ from lodestone.operators import parsing
 from lodestone.plans.registry import query
 
 
+#: What a document's lines become in turn, by language: a comment, a string, the body of a function, and of a method or an inner block.
+_PROGRAM = {
+    "python": ("concat('# ', x)", "concat('S', i, ' = \"', e, '\"')", "concat('def f', i, '(a):\\n    return \"', e, '\"')", "concat('class C', i, ':\\n    def m(self, a):\\n        # ', x, '\\n        return a')"),
+    "typescript": ("concat('// ', x)", "concat('const S', i, ' = \"', e, '\";')", "concat('function f', i, '(a: number) {\\n  return \"', e, '\";\\n}')", "concat('export class C', i, ' {\\n  m(a: number) {\\n    // ', x, '\\n    return a;\\n  }\\n}')"),
+}
+
+
+def program(language: str) -> Column:
+    """The whole text as a program: each line (whatever ends it) is a comment, a string or a line of a body."""
+    escaped = "replace(replace(x, '\\\\', '\\\\\\\\'), '\"', '\\\\\"')"
+    cases = " ".join(f"WHEN {k} THEN {c.replace(', e, ', f', {escaped}, ')}" for k, c in enumerate(_PROGRAM[language]))
+    return F.expr(f"concat(array_join(transform(split(original, '\\r\\n|\\r|\\n'), (x, i) -> CASE i % 4 {cases} END), '\\n'), '\\n')")
+
+
 def sources(spark, sf_dir):
-    """The corpus as program text: prose as comments and strings around small functions."""
-    line = F.replace(F.replace(F.left("original", F.lit(60)), F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit("'"))
-    python = F.concat(F.lit("class A:\n    def f(self, a):\n        '''Doc.'''\n        return \""), line, F.lit('"\n\ndef g():\n    x = 1\n    return x\n'))
-    script = F.concat(F.lit("export class A {\n  f(a: number) {\n    // "), line, F.lit("\n    return a;\n  }\n}\nfunction g() { return 1; }\n"))
+    """The corpus as program text: the lines of prose as comments, strings and bodies of functions."""
     df = corpus(spark, sf_dir).withColumn("language", paths.language(F.col("path")))
-    return df.select("path", "language", F.when(F.col("language") == "python", python).when(F.col("language") == "typescript", script).otherwise(F.col("original")).alias("text"))
+    return df.select("path", "language", F.when(F.col("language") == "python", program("python")).when(F.col("language") == "typescript", program("typescript")).otherwise(F.col("original")).alias("text"))
+
+
+#: The lines of a document in turn: the first branch of an ``#if``, the second, the last, and code outside.
+_BRANCHES = """concat('int a;\\n', array_join(transform(split(text, '\\n'), (x, i) -> concat(CASE i % 4 WHEN 0 THEN '#if X\\n// ' WHEN 1 THEN '#elif Y\\n// ' WHEN 2 THEN '#else\\n// ' ELSE '#endif\\n// ' END, x)), '\\n'),
+ CASE size(split(text, '\\n')) % 4 WHEN 0 THEN '' ELSE '\\n#endif' END, '\\nint c;\\n')"""
 
 
 @query("skeleton_counts")
@@ -33,8 +50,7 @@ def blank_branches(spark, sf_dir):
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "branch": pdf["branch"], "content": [parsing.blank_branches(t, b) for t, b in zip(pdf["text"], pdf["branch"])]})
 
-    text = F.concat(F.lit("int a;\n#if X\nint b;\n#else\n"), F.left("text", F.lit(40)), F.lit("\n#endif\nint c;\n"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.explode(F.array(F.lit(0), F.lit(1))).alias("branch"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_BRANCHES).alias("text"), F.explode(F.array(F.lit(0), F.lit(1))).alias("branch"))
     return rows.mapInPandas(run, "doc_id long, branch int, content string")
 
 

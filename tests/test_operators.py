@@ -167,3 +167,22 @@ def test_whole_texts_are_escaped_judged_and_rendered(spark, long_texts):
         said = " [focus]" if k == 0 else "" if k % 5 in (2, 3) else " [truncated]"
         blocks.append(f"### `{path}`{said}\n\n```````{kinds[k % 5][1]}\n{t}```````\n")
     assert QUERIES["render_files_whole"](spark, folder).collect() == [("src", hashlib.sha1("\n".join(blocks).encode()).hexdigest())]
+
+
+def test_parsers_see_whole_texts(spark, tmp_path):
+    from lodestone.plans import QUERIES
+
+    odd = 'say "hi" \\ {(['
+    docs = {k: "\n".join(f"{odd} {i}" for i in range(n)) for k, n in ((2, 400), (3, 400), (7, 9), (8, 10))}
+    spark.createDataFrame([(k, t, "en", "src", len(t)) for k, t in docs.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    escaped = odd.replace("\\", "\\\\").replace('"', '\\"')
+    python = [lambda i: f"# {odd} {i}", lambda i: f'S{i} = "{escaped} {i}"', lambda i: f"def f{i}(a):\n    ...", lambda i: f"class C{i}:\n    def m(self, a):\n        # {odd} {i}\n        ..."]
+    script = [lambda i: f"// {odd} {i}", lambda i: f'const S{i} = "{escaped} {i}";', lambda i: f"function f{i}(a: number) {{ /* … */ }}", lambda i: f"export class C{i} {{\n  m(a: number) {{ /* … */ }}\n}}"]
+    got = {r["path"].rpartition("_")[2]: r for r in QUERIES["skeleton_counts"](spark, str(tmp_path)).collect()}
+    for name, n, lines in (("2.py", 400, python), ("3.ts", 400, script), ("7.py", 9, python), ("8.ts", 10, script)):
+        expected = "".join(lines[i % 4](i) + "\n" for i in range(n))
+        assert (got[name]["parse_errors"], got[name]["stripped_bodies"], got[name]["n_chars"]) == (False, sum(i % 4 > 1 for i in range(n)), len(expected))
+    for r in QUERIES["blank_branches"](spark, str(tmp_path)).collect():
+        lines, kept = docs[r["doc_id"]].split("\n"), r["content"].split("\n")
+        assert [x for x in kept if x.strip()] == ["int a;", *(f"// {x}" for i, x in enumerate(lines) if i % 4 in (r["branch"], 3)), "int c;"]
+        assert len(kept) == 3 + 2 * len(lines) + (len(lines) % 4 > 0)
