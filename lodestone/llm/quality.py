@@ -2,11 +2,13 @@
 
 Two histograms are taken of each whole text: of character classes (upper-case letters, digits,
 marks of punctuation, symbols, blanks, the rest), and of common words (the ``COMMON_WORDS``
-most frequent words of ``COMMON_LENGTH`` letters or fewer of each language, and all other words as one bin).
+most frequent words with a letter, of ``COMMON_LENGTH`` characters or fewer, of each language; words without a letter,
+such as ``|``, as one bin; and all other words as one bin).
 References come from all documents of each non-null ``lang``: class counts and word
 counts summed over the whole corpus. A document is compared with each reference by
 Jensen-Shannon distance (base 2, 0 to 1) and passes if one language is near enough in
-both. Guards: a text of fewer than ``MIN_WORDS`` words, or with more than half of its words in
+both: a text without one common word is as far from a reference as that reference's common words
+hold shares, and the word distance must stay below ``MAX_WORD_PART`` of that. Guards: a text of fewer than ``MIN_WORDS`` words, or with more than half of its words in
 repeated three-word windows, fails before; a language with fewer than ``MIN_REFERENCE_WORDS``
 words gives no reference, and where there is no reference at all nothing is rejected by
 distance.
@@ -33,6 +35,10 @@ COMMON_LENGTH = 6
 MIN_REFERENCE_WORDS = 2000
 MAX_CLASS_DISTANCE = 0.26
 MAX_WORD_DISTANCE = 0.445
+#: Of the distance that a text without a common word has from the reference.
+MAX_WORD_PART = 0.95
+#: The bin of the words without a letter; no word is empty.
+LETTERLESS = ""
 WHITE = r"[\x20\x09-\x0D]+"
 CLASSES = {"upper": r"\p{Lu}", "number": r"[0-9]", "mark": r"[.,;:'\"()\-]", "symbol": r"[#*$%&|<>!?=_/\\+~^@\[\]{}`]"}
 
@@ -47,6 +53,11 @@ def bare_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D.,;:'\"()\-]+"), lambda w: w != "")
 
 
+def letterless(word: Column) -> Column:
+    """Whether a word in lower case has no letter."""
+    return ((word < "a") | (word >= "{")) & ~word.rlike(r"\p{L}")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once and only where it is needed."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -75,8 +86,8 @@ def class_counts(text: Column) -> list[Column]:
 
 
 def common_words(docs: DataFrame, k: int = COMMON_WORDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The ``k`` most frequent words of at most ``COMMON_LENGTH`` characters of each language, with their counts over all documents."""
-    short = F.filter(bare_words(F.coalesce(F.col(text_col), F.lit(""))), lambda w: F.length(w) <= COMMON_LENGTH)
+    """The ``k`` most frequent words with a letter and of at most ``COMMON_LENGTH`` characters of each language, with their counts over all documents."""
+    short = F.filter(bare_words(F.coalesce(F.col(text_col), F.lit(""))), lambda w: (F.length(w) <= COMMON_LENGTH) & ~letterless(w))
     words = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(short).alias("word"))
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     # The best k of each hash part first, so no task sorts a language's whole vocabulary.
@@ -96,7 +107,7 @@ def js_terms(p: Column, q: Column) -> Column:
 def with_counts(df: DataFrame, text: str, vocabulary: list[str]) -> DataFrame:
     """Add the base counts, the class counts and the counts of the vocabulary's words of a non-null text column."""
     df = df.withColumn("_words", words_of(F.col(text))).withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))))
-    listed = F.filter(bare_words(F.col(text)), lambda w: w.isin(vocabulary)) if vocabulary else F.array().cast("array<string>")
+    listed = F.transform(F.filter(bare_words(F.col(text)), lambda w: w.isin(vocabulary) | letterless(w)), lambda w: F.when(w.isin(vocabulary), w).otherwise(LETTERLESS)) if vocabulary else F.array().cast("array<string>")
     df = df.select(
         "*",
         F.size("_words").cast("long").alias("n_words"),
@@ -116,19 +127,20 @@ def with_counts(df: DataFrame, text: str, vocabulary: list[str]) -> DataFrame:
 
 
 def references(docs: DataFrame, top: DataFrame, text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_REFERENCE_WORDS) -> dict[str, tuple[dict[str, float], dict[str, float]]]:
-    """Of each language the shares of the classes and of its common words; a few numbers a language."""
+    """Of each language the shares of the classes, and of its common words and the words without a letter; a few numbers a language."""
     words: dict[str, dict[str, int]] = {}
     for r in top.collect():
         words.setdefault(r["lang"], {})[r["word"]] = r["n"]
-    names = [*(f"_{c}" for c in CLASSES), "_chars", "_white", "_n"]
+    names = [*(f"_{c}" for c in CLASSES), "_chars", "_white", "_n", "_letterless"]
     own = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sums = own.select(F.col(lang_col).alias("lang"), *class_counts(F.col(text_col)), F.size(bare_words(F.col(text_col))).cast("long").alias("_n")).groupBy("lang").agg(*[F.sum(c).alias(c) for c in names])
+    sums = own.select(F.col(lang_col).alias("lang"), *class_counts(F.col(text_col)), let(bare_words(F.col(text_col)), lambda ws: F.struct(F.size(ws).cast("long").alias("n"), F.size(F.filter(ws, letterless)).cast("long").alias("letterless"))).alias("_w"))
+    sums = sums.select("*", F.col("_w.n").alias("_n"), F.col("_w.letterless").alias("_letterless")).groupBy("lang").agg(*[F.sum(c).alias(c) for c in names])
     out = {}
     for r in sums.collect():
         if r["lang"] in words and r["_n"] >= min_words:
             counts = {c: r[f"_{c}"] for c in [*CLASSES, "white"]}
             counts["rest"] = r["_chars"] - sum(counts.values())
-            out[r["lang"]] = ({c: max(n, 0) / r["_chars"] for c, n in counts.items()}, {w: n / r["_n"] for w, n in words[r["lang"]].items()})
+            out[r["lang"]] = ({c: max(n, 0) / r["_chars"] for c, n in counts.items()}, {w: n / r["_n"] for w, n in {**words[r["lang"]], LETTERLESS: r["_letterless"]}.items()})
     return out
 
 
@@ -153,6 +165,15 @@ def word_distance(shares: dict[str, float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.element_at(F.transform(F.array(sums), lambda a: a["d"] + F.greatest(F.lit(0.0), all_q - a["q"]) / 2 + other(a)), 1)))
 
 
+def word_limit(shares: dict[str, float], max_word: float) -> float:
+    """The largest word distance from a reference that is allowed: less than that of a text without a common word."""
+    listed = math.fsum(shares.values())
+    rest = max(0.0, 1.0 - listed)
+    m = (1.0 + rest) / 2
+    none = listed / 2 + (math.log2(1.0 / m) + (rest * math.log2(rest / m) if rest else 0.0)) / 2
+    return min(max_word, MAX_WORD_PART * math.sqrt(none)) or max_word
+
+
 def judged(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` with each row's counts, its nearest language (``near_lang``), the two distances from it, and the verdict."""
     top = save(common_words(docs, text_col=text_col, lang_col=lang_col))
@@ -161,8 +182,8 @@ def judged(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: flo
     rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     df = with_counts(rows, "_text", vocabulary)
     none = F.lit(None).cast("struct<worst:double,word:double,cls:double,near:string>")
-    options = F.array(*[F.struct(word_distance(w).alias("word"), class_distance(c).alias("cls"), F.lit(lang).alias("near")) for lang, (c, w) in sorted(refs.items())])
-    near = lambda xs: F.transform(xs, lambda o: F.struct(F.greatest(o["word"] / max_word, o["cls"] / max_class).alias("worst"), o["word"].alias("word"), o["cls"].alias("cls"), o["near"].alias("near")))
+    options = F.array(*[F.struct(word_distance(w).alias("word"), class_distance(c).alias("cls"), F.lit(lang).alias("near"), F.lit(word_limit(w, max_word)).alias("limit")) for lang, (c, w) in sorted(refs.items())])
+    near = lambda xs: F.transform(xs, lambda o: F.struct(F.greatest(o["word"] / o["limit"], o["cls"] / max_class).alias("worst"), o["word"].alias("word"), o["cls"].alias("cls"), o["near"].alias("near")))
     df = df.withColumn("_best", F.array_min(near(options)) if refs else none)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     added = [

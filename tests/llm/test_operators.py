@@ -231,6 +231,20 @@ def test_quality_rejects_other_histograms(spark):
     assert kept >= set(range(60)) and not kept & {100, 101, 102}
 
 
+def test_quality_rejects_texts_without_common_words(spark):
+    import random
+
+    r = random.Random(2)
+    common = EN.split()
+    rare = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(9))
+    prose = lambda share, bar="": " ".join((r.choice(common) if r.random() < share else rare()) + bar * (k % 3 > 0) for k in range(200))
+    good = [(i, prose(0.3), "en") for i in range(60)]
+    bad = [(100, prose(0.0), "en"), (101, prose(0.3, " |"), "en")]
+    rows = quality.judge(spark.createDataFrame(good + bad, "doc_id long, text string, lang string")).collect()
+    assert {x["doc_id"] for x in rows if x["kept"]} == set(range(60))
+    assert all(x["class_distance"] <= quality.MAX_CLASS_DISTANCE and not x["base_failed"] for x in rows)  # by words alone
+
+
 def test_language(docs, none, spark):
     import random
 
