@@ -5,7 +5,8 @@ references decoded and white space folded. Each block is a vector of its tag pat
 names, classes, ids and roles of its ancestors), its hashed words, and a few numbers (length, links,
 place). A two-way LSTM in numpy reads a page's whole sequence, so that a block is judged by all
 others on the page, and labels it main text or not. Scripts, styles, forms' fields, comments in the
-source and the head are no blocks at all.
+source and the head are no blocks at all. A head without ``</head>`` ends at the first text or tag that no head holds;
+of an unclosed or self-closed element other than a script or a style only the tag is left out.
 
 The weights (``html_model.npz``, some tens of kilobytes) are trained by :mod:`lodestone.llm.html_train`
 on pages that it makes up. Pages go through the network side by side, a step for
@@ -36,8 +37,12 @@ SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks int, n_m
 #: Blocks that go through the network together.
 GROUP_BLOCKS = 20_000
 
-_RAW = "script|style|noscript|template|textarea|select|svg|head|title|iframe|object|math|datalist|canvas"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s[^<>]*?|\"[^\"]*\"|'[^']*')*)/?>", re.S | re.I)
+_RAW = "noscript|template|textarea|select|svg|title|iframe|object|math|datalist|canvas"
+#: What a head holds besides ``_RAW``; any other tag, or text, ends a head that isn't closed.
+_HEAD = {*"head base basefont bgsound link meta noframes noscript script style template title".split()}
+_TAGS_ONLY = {*_RAW.split("|"), "script", "style"}
+# Script and style run to the page's end if unclosed; a head is closed before the body; other raw elements that are unclosed or self-closed are tags only.
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?</\1\s*>|<(?:script|style)(?=[\s>])[^>]*(?<!/)>.*\Z|<(head)(?=[\s/>])[^>]*>(?:(?!<body\b).)*?</head\s*>|<({_RAW})(?=[\s/>])[^>]*(?<!/)>.*?</\3\s*>|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s[^<>]*?|\"[^\"]*\"|'[^']*')*)/?>", re.S | re.I)
 _INLINE = {*"a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr label input".split()}
 _VOID = {*"area base br col embed hr img input link meta param source track wbr".split()}
 _CLOSES_P = {*"address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()}
@@ -65,7 +70,7 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     buffer: list[str] = []
     linked: list[int] = []
-    in_link, at = 0, 0
+    in_link, at, in_head = 0, 0, False
 
     def flush() -> None:
         if buffer:
@@ -84,23 +89,30 @@ def blocks_of(page: str) -> list[Block]:
                 linked.append(len(piece))
 
     for m in _TOKEN.finditer(page):
+        in_head = in_head and not page[at : m.start()].strip()
         add(page[at : m.start()])
         at = m.end()
-        tag = m[3]
+        tag = m[5]
         if tag is None:
-            if m[1] and m[1].lower() in ("head", "title"):
+            if m[2] or m[3] and m[3].lower() == "title":
                 flush()
             continue
         tag = tag.lower()
+        if tag in _TAGS_ONLY or tag == "head" or in_head and tag in _HEAD:
+            if tag in ("head", "title"):
+                flush()
+            in_head = not m[4] if tag == "head" else in_head
+            continue
+        in_head = False
         if tag in _INLINE:
             if tag == "a":
-                in_link = 0 if m[2] else 1
+                in_link = 0 if m[4] else 1
             elif tag == "br":
                 buffer.append(" ")
             continue
         flush()
         in_link = 0
-        if m[2]:
+        if m[4]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
@@ -109,7 +121,7 @@ def blocks_of(page: str) -> list[Block]:
             if stack and (stack[-1][0] == "p" and tag in _CLOSES_P or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
                 stack.pop()
             if tag not in ("html", "body"):
-                stack.append((tag, _names(tag, m[4] or "")))
+                stack.append((tag, _names(tag, m[6] or "")))
             else:
                 stack.append((tag, ()))
     add(page[at:])

@@ -303,6 +303,21 @@ def test_pages(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("start", "lost"),
+    [("<head><title>t</title><body>", 0), ("<head><meta a=b><title>t</title>", 0), ("<head><title>t</title></head><body>", 0), ("<svg/>", 0), ("<p>a<svg width=1 />b</p>", 1), ("<iframe src=x>", 0), ("<object data=x>", 0), ("<script src=x />", 0), ("<svg><text>no</text></svg>", 0), ("<script>no</script>", 0)],
+)
+def test_open_elements_keep_what_follows(start, lost):
+    blocks = [t for t, _, _ in html_extract.blocks_of(f"{start}<p>Main text.</p><p>More.</p>")]
+    assert blocks == ["ab"] * lost + ["Main text.", "More."]
+
+
+def test_unclosed_head_reaches_the_model():
+    body = "".join(f"<p>Sentence number {k} of the article, which says rather more than a few words.</p>" for k in range(8))
+    closed, unclosed = (html_extract.extract([f"<html><head><title>t</title>{end}<body><article>{body}</article></body></html>"], html_extract.load_weights())[0] for end in ("</head>", ""))
+    assert unclosed == closed and unclosed[0]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
