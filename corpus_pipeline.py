@@ -13,7 +13,7 @@ from lodestone.llm.runtime import shared_folder, table
 
 
 def identified_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter of a known language go."""
+    """Documents of whose letters less than ``language.MIN_SCORE`` are of one known language go."""
     return language.filter_language(docs)
 
 

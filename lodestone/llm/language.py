@@ -13,7 +13,9 @@ are cut into segments of ``SEGMENT`` words whose best-path matrices are found si
 then chained, so a very long text costs no more a word than a short one.
 
 The prediction is the language with the most letters on the path and the score its share of
-them. A text that is null or has no letter is ``und`` with score 0. Nothing but the text
+all letters; letters of words in a script that no language uses count for none, so a text of such words alone
+has score 0, whatever language is named. A text that is null or has no letter is ``und`` with score 0. The
+filter drops texts below ``MIN_SCORE``. Nothing but the text
 enters a prediction. Repeated rows give equal rows; an empty table gives no rows.
 """
 
@@ -38,6 +40,8 @@ SEGMENT = 64
 #: A language uses a script that has at least this share of its letters.
 SCRIPT_SHARE = 0.01
 FOREIGN = -1000.0
+#: Texts stay if their language has at least this share of their letters.
+MIN_SCORE = 0.25
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_spans int"
 SPANS_SCHEMA = "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
 
@@ -255,8 +259,9 @@ class Labeller:
             return w, np.zeros(len(w.start), np.int64), np.full(n, -1), np.zeros(n)
         path = self.paths(self.word_scores(w), w.bounds)
         doc = np.repeat(np.arange(n), np.diff(w.bounds))
-        letters = np.bincount(doc * langs + path, w.letters, n * langs).reshape(n, langs)
-        total = letters.sum(1)
+        known = (self.model.uses[w.script] >= 0).any(1)
+        letters = np.bincount(doc * langs + path, w.letters * known, n * langs).reshape(n, langs)
+        total = np.bincount(doc, w.letters, n)
         return w, path, np.where(total > 0, letters.argmax(1), -1), letters.max(1) / np.maximum(total, 1)
 
 
@@ -308,7 +313,7 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SPANS_SCHEMA if spans else SCHEMA)
 
 
-def filter_language(docs: DataFrame, min_score: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def filter_language(docs: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose text has a language with at least this score, with their own columns."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col))
 

@@ -266,6 +266,15 @@ def test_language(docs, none, spark):
     assert {x["doc_id"] for x in docs.collect()} - {x["doc_id"] for x in language.filter_language(docs).collect()} == {3, 4, 5, 13}
 
 
+def test_language_rejects_scripts_that_no_language_uses(spark):
+    rows = [(i, EN if i % 2 else DE, "en" if i % 2 else "de") for i in range(40)]
+    odd = [(100, "Привет мир это текст " * 20, None), (101, "这是一个中文文档 " * 20, None), (102, "Привет мир это текст " * 20 + "the cat", None), (103, EN + "Привет", None)]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    score = {x["doc_id"]: x["score"] for x in language.identify(df).collect()}
+    assert score[100] == score[101] == 0 and score[102] < 0.05 and 0.8 < score[103] < 1 and score[0] == score[1] == 1
+    assert {x["doc_id"] for x in language.filter_language(df).collect()} == {*range(40), 103}
+
+
 def test_fingerprints(docs, none):
     order = sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
     rows = fingerprints.fingerprints_of_edits(docs).collect()
