@@ -2,7 +2,7 @@
 
 Two histograms are taken of each whole text: of character classes (upper-case letters, digits,
 marks of punctuation, symbols, blanks, the rest), and of common words (the ``COMMON_WORDS``
-most frequent words with a letter, of ``COMMON_LENGTH`` characters or fewer, of each language; words without a letter,
+most frequent words with a letter, of whatever length, of each language; words without a letter,
 such as ``|``, as one bin; and all other words as one bin).
 References come from all documents of each non-null ``lang``: class counts and word
 counts summed over the whole corpus. A document is compared with each reference by
@@ -31,7 +31,6 @@ from lodestone.llm.runtime import save
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 COMMON_WORDS = 32
-COMMON_LENGTH = 6
 MIN_REFERENCE_WORDS = 2000
 MAX_CLASS_DISTANCE = 0.26
 MAX_WORD_DISTANCE = 0.445
@@ -86,9 +85,9 @@ def class_counts(text: Column) -> list[Column]:
 
 
 def common_words(docs: DataFrame, k: int = COMMON_WORDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The ``k`` most frequent words with a letter and of at most ``COMMON_LENGTH`` characters of each language, with their counts over all documents."""
-    short = F.filter(bare_words(F.coalesce(F.col(text_col), F.lit(""))), lambda w: (F.length(w) <= COMMON_LENGTH) & ~letterless(w))
-    words = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(short).alias("word"))
+    """The ``k`` most frequent words with a letter of each language, with their counts over all documents."""
+    lettered = F.filter(bare_words(F.coalesce(F.col(text_col), F.lit(""))), lambda w: ~letterless(w))
+    words = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(lettered).alias("word"))
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     # The best k of each hash part first, so no task sorts a language's whole vocabulary.
     order = [F.desc("n"), F.col("word")]
