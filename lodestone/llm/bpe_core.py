@@ -135,7 +135,7 @@ class ByteBPE:
     def word_ids(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Numbers in the table of the words that start at ``starts`` and lie gapless in ``data``."""
         ends = np.append(starts[1:], len(data))
-        h = tc.span_hash(tc.prefix_hash(data), starts, ends)
+        h = tc.span_hash(data, starts, ends)
         if self.words.n + len(h) > self.words.limit and self.words.n > self.words.limit // 2:
             self.forget()
         found = self.words.find(h)

@@ -112,10 +112,10 @@ class ChunkEncoder:
         sizes = np.diff(offsets)
         if not len(data):
             return [(0, b"", b"", 0, 0)] * n
-        prefix = tc.prefix_hash(data)
+        prefix = tc.rolling_prefix(data)
         starts = chunk_starts(data, prefix, offsets[:-1][sizes > 0])
         ends = np.append(starts[1:], len(data))
-        keys = tc.span_hash(prefix, starts, ends)
+        keys = tc.span_hash(data, starts, ends)
         # The core of each chunk: from its first to its last safe place that lies inside with both neighbours.
         safe = safe_places(data)
         lo, hi = np.searchsorted(safe, starts + 1), np.searchsorted(safe, ends - 1) - 1

@@ -94,7 +94,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     a, b = np.flatnonzero(letter & ~before), np.flatnonzero(letter & ~after)
     edge = np.append(places, len(data))
     start, end = edge[a], edge[b + 1]
-    key = tc.span_hash(tc.prefix_hash(low), start, end)
+    key = tc.span_hash(low, start, end)
     points = tc.code_points(low, start) if len(start) else np.zeros(0, np.int64)
     return Words(low, start, end, key, script_of(points), b - a + 1, np.searchsorted(start, offsets))
 

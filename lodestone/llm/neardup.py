@@ -62,7 +62,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> t
     stop = solid.copy()
     stop[:-1] &= ~solid[1:] | first[1:-1]
     a, b = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    h = tc.span_hash(tc.prefix_hash(low), a, b)
+    h = tc.span_hash(low, a, b)
     bounds = np.searchsorted(a, offsets)
     counts = np.diff(bounds)
     doc = np.repeat(np.arange(n), counts)
