@@ -12,7 +12,10 @@ The weights (``html_model.npz``, some tens of kilobytes) are trained by :mod:`lo
 on pages that it makes up. Pages go through the network side by side, a step for
 each block's place, in groups of bounded numbers of blocks.
 
-A null or empty page gives an empty text; repeated rows give equal rows; an empty table gives no rows.
+Malformed pages cost time linear in their length: tags are read without backtracking, unfinished ones are text, and
+paths of deep elements share what they have in common. A page of more than ``GROUP_BLOCKS`` blocks goes through the network in parts.
+A null or empty page gives an empty text; repeated rows and rows of one id give equal rows, each by itself; other columns are
+not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -41,8 +46,11 @@ _RAW = "noscript|template|textarea|select|svg|title|iframe|object|math|datalist|
 #: What a head holds besides ``_RAW``; any other tag, or text, ends a head that isn't closed.
 _HEAD = {*"head base basefont bgsound link meta noframes noscript script style template title".split()}
 _TAGS_ONLY = {*_RAW.split("|"), "script", "style"}
+_SKIPPED = _TAGS_ONLY | {"head"}
+#: A tag, or what a comment or declaration starts with. Every byte is read a bounded number of times: nothing here backtracks, and an unfinished tag is text as far as it was read.
+_TOKEN = re.compile(r"""<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)(?=[\s/>"'])((?:[^<>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)(>?)""")
 # Script and style run to the page's end if unclosed; a head is closed before the body; other raw elements that are unclosed or self-closed are tags only.
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?</\1\s*>|<(?:script|style)(?=[\s>])[^>]*(?<!/)>.*\Z|<(head)(?=[\s/>])[^>]*>(?:(?!<body\b).)*?</head\s*>|<({_RAW})(?=[\s/>])[^>]*(?<!/)>.*?</\3\s*>|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s[^<>]*?|\"[^\"]*\"|'[^']*')*)/?>", re.S | re.I)
+_CLOSE = re.compile(rf"</(script|style|head|{_RAW})\s*+>|<(body)\b", re.I)
 _INLINE = {*"a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr label input".split()}
 _VOID = {*"area base br col embed hr img input link meta param source track wbr".split()}
 _CLOSES_P = {*"address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()}
@@ -50,34 +58,84 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _WORD = re.compile(r"\w+")
 
-#: text, path tokens, letters in links
-Block = tuple[str, tuple[str, ...], float]
+class TagPath:
+    """The tokens of an element and of all above it, as a hashed vector that is made when a block first asks for it."""
 
+    __slots__ = ("above", "last", "names", "size", "vector")
 
-@lru_cache(maxsize=50_000)
-def _names(tag: str, attributes: str) -> tuple[str, ...]:
+    def __init__(self, above: TagPath | None, names: tuple[str, ...]) -> None:
+        self.above, self.names, self.vector = above, names, None
+        self.size: int = len(names) + (above.size if above else 0)
+        self.last: str = names[-1] if names else above.last if above else ""
+
+    def hashed(self) -> np.ndarray:
+        todo, node = [], self
+        while node is not None and node.vector is None:
+            todo.append(node)
+            node = node.above
+        for p in reversed(todo):
+            p.vector = np.zeros(PATH_DIMS, np.float32) if p.above is None else p.above.vector.copy()
+            for token in p.names:
+                b, sign = _bucket(token, PATH_DIMS)
+                p.vector[b] += sign
+        return self.vector
+
+
+#: text, path, share of letters in links
+Block = tuple[str, TagPath, float]
+
+
+def _element_names(tag: str, attributes: str) -> tuple[str, ...]:
     """The tokens that an element adds to the path."""
     out = [tag]
     for m in _ATTRIBUTE.finditer(attributes) if "=" in attributes else ():
         value = (m[2] or m[3] or m[4] or "").lower()
-        out += [f"{'.'}{w}" for w in _SPLIT.split(value) if w and not w.isdigit()]
+        out += [f".{w}" for w in _SPLIT.split(value) if w and not w.isdigit()]
     return tuple(dict.fromkeys(out))
 
 
+_known_names = lru_cache(maxsize=50_000)(_element_names)
+
+
+def _names(tag: str, attributes: str) -> tuple[str, ...]:
+    return (_known_names if len(attributes) < 200 else _element_names)(tag, attributes)
+
+
+class _Closers:
+    """Where the raw elements of a page are closed: found in one pass, when first asked for."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.found = page, None
+
+    def after(self, tag: str, at: int) -> tuple[int, int] | None:
+        """First and last byte of the next closing tag (of ``body``: opening tag) from ``at`` on."""
+        if self.found is None:
+            self.found = {}
+            for m in _CLOSE.finditer(self.page):
+                starts, ends = self.found.setdefault((m[1] or m[2]).lower(), ([], []))
+                starts.append(m.start())
+                ends.append(m.end())
+        starts, ends = self.found.get(tag, ((), ()))
+        k = bisect_left(starts, at)
+        return (starts[k], ends[k]) if k < len(starts) else None
+
+
 def blocks_of(page: str) -> list[Block]:
-    """The leaf blocks of a page in their order."""
+    """The leaf blocks of a page in their order, in time linear in its length."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    root = TagPath(None, ())
+    stack: list[tuple[str, TagPath]] = [("", root)]
+    opened: Counter[str] = Counter()
     buffer: list[str] = []
     linked: list[int] = []
-    in_link, at, in_head = 0, 0, False
+    closers = _Closers(page)
+    in_link, at, in_head, ended = 0, 0, False, False
 
     def flush() -> None:
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
-                path = tuple(t for _, names in stack for t in names)
-                out.append((text, path, min(1.0, sum(linked) / len(text))))
+                out.append((text, stack[-1][1], min(1.0, sum(linked) / len(text))))
             buffer.clear()
             linked.clear()
 
@@ -88,62 +146,96 @@ def blocks_of(page: str) -> list[Block]:
             if in_link:
                 linked.append(len(piece))
 
-    for m in _TOKEN.finditer(page):
-        in_head = in_head and not page[at : m.start()].strip()
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[5]
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
+
+    m = _TOKEN.search(page)
+    while m:
+        begin, end, tag = m.start(), m.end(), m[2]
+        raw = False
         if tag is None:
-            if m[2] or m[3] and m[3].lower() == "title":
+            stop = page.find("-->" if m[0] == "<!--" else "]]>" if m[0] == "<![CDATA[" else ">", end) if not (ended and len(m[0]) == 2) else -1
+            if stop >= 0:
+                end = stop + (1 if len(m[0]) == 2 else 3)
+            elif len(m[0]) == 2:  # no tag ends from here on
+                ended = True
+                m = _TOKEN.search(page, end)
+                continue
+            else:
+                end = len(page)
+        elif not m[4]:
+            m = _TOKEN.search(page, end)
+            continue
+        else:
+            tag = tag.lower()
+            if not m[1] and tag in _SKIPPED:
+                close = closers.after(tag, end)
+                own = not m[3].endswith("/")
+                if tag == "head":
+                    body = closers.after("body", end)
+                    raw = close is not None and (body is None or close[0] < body[0])
+                else:
+                    raw = own and (close is not None or tag in ("script", "style"))
+                if raw:
+                    end = close[1] if close else len(page)
+        in_head = in_head and not page[at:begin].strip()
+        add(page[at:begin])
+        at = end
+        m, attributes, closing = _TOKEN.search(page, end), m[3], m[1]
+        if tag is None or raw:
+            if raw and tag in ("head", "title"):
                 flush()
             continue
-        tag = tag.lower()
         if tag in _TAGS_ONLY or tag == "head" or in_head and tag in _HEAD:
             if tag in ("head", "title"):
                 flush()
-            in_head = not m[4] if tag == "head" else in_head
+            in_head = not closing if tag == "head" else in_head
             continue
         in_head = False
         if tag in _INLINE:
             if tag == "a":
-                in_link = 0 if m[4] else 1
+                in_link = 0 if closing else 1
             elif tag == "br":
                 buffer.append(" ")
             continue
         flush()
         in_link = 0
-        if m[4]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+        if closing:
+            if opened[tag]:
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
         elif tag not in _VOID:
-            if stack and (stack[-1][0] == "p" and tag in _CLOSES_P or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                stack.pop()
-            if tag not in ("html", "body"):
-                stack.append((tag, _names(tag, m[6] or "")))
-            else:
-                stack.append((tag, ()))
+            top = stack[-1][0]
+            if top == "p" and tag in _CLOSES_P or top == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
+                pop()
+            above = stack[-1][1]
+            stack.append((tag, above if tag in ("html", "body") else TagPath(above, _names(tag, attributes or ""))))
+            opened[tag] += 1
     add(page[at:])
     flush()
     return out
 
 
-@lru_cache(maxsize=100_000)
-def _bucket(token: str, dims: int) -> tuple[int, float]:
+def _hash_bucket(token: str, dims: int) -> tuple[int, float]:
     h = zlib.crc32(token.encode())
     return h % dims, 1.0 if h & 0x10000 else -1.0
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    """The input vectors of a page's blocks."""
+_known_bucket = lru_cache(maxsize=100_000)(_hash_bucket)
+
+
+def _bucket(token: str, dims: int) -> tuple[int, float]:
+    return (_known_bucket if len(token) < 100 else _hash_bucket)(token, dims)
+
+
+def vectors(blocks: list[Block], first: int = 0, total: int | None = None) -> np.ndarray:
+    """The input vectors of a page's blocks (or of some of its ``total`` blocks, from number ``first`` on)."""
     x = np.zeros((len(blocks), DIMS), np.float32)
-    n = len(blocks)
+    n = total or len(blocks)
     for i, (text, path, links) in enumerate(blocks):
         row = x[i]
-        for k, token in enumerate(path):
-            b, sign = _bucket(token, PATH_DIMS)
-            row[b] += sign
+        row[:PATH_DIMS] = path.hashed()
         words = _WORD.findall(text.lower())
         for w in words:
             b, sign = _bucket(w, WORD_DIMS)
@@ -151,7 +243,8 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         if words:
             row[PATH_DIMS : PATH_DIMS + WORD_DIMS] /= len(words) ** 0.5
         size = len(text)
-        row[PATH_DIMS + WORD_DIMS :] = (min(size, 2000) ** 0.5 / 20, links, text[-1] in ".!?:;\"'”»", i / n, min(1.0, text.count(",") / 10), len(path) / 10, path[-1:] in (("p",), ("h1",), ("h2",), ("h3",)), size < 40)
+        alone = path.last in ("p", "h1", "h2", "h3")
+        row[PATH_DIMS + WORD_DIMS :] = (min(size, 2000) ** 0.5 / 20, links, text[-1] in ".!?:;\"'”»", (first + i) / n, min(1.0, text.count(",") / 10), path.size / 10, alone, size < 40)
     return np.clip(x, -3, 3)
 
 
@@ -159,11 +252,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def run_lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hidden states (steps x pages x HIDDEN) of an LSTM; a page's state stands still where its mask is 0."""
+def run_lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Hidden states (steps x pages x HIDDEN) of an LSTM, and its last state; a page's state stands still where its mask is 0."""
     steps, pages, _ = x.shape
-    h = np.zeros((pages, HIDDEN), np.float32)
-    c = np.zeros_like(h)
+    h, c = state or (np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32))
     out = np.empty((steps, pages, HIDDEN), np.float32)
     z = x.reshape(steps * pages, -1) @ w + b
     z = z.reshape(steps, pages, -1)
@@ -174,7 +266,7 @@ def run_lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: n
         c = m * (f * c + i * np.tanh(a[:, 3 * HIDDEN :])) + (1 - m) * c
         h = m * (o * np.tanh(c)) + (1 - m) * h
         out[t] = h
-    return out
+    return out, (h, c)
 
 
 def main_blocks(pages: list[np.ndarray], weights: dict[str, np.ndarray]) -> list[np.ndarray]:
@@ -193,8 +285,8 @@ def main_blocks(pages: list[np.ndarray], weights: dict[str, np.ndarray]) -> list
         for g, k in enumerate(group):
             x[: sizes[g], g] = pages[k]
         mask = (np.arange(steps)[:, None] < sizes).astype(np.float32)
-        fore = run_lstm(x, mask, weights["wf"], weights["uf"], weights["bf"])
-        back = run_lstm(x[::-1], mask[::-1], weights["wb"], weights["ub"], weights["bb"])[::-1]
+        fore, _ = run_lstm(x, mask, weights["wf"], weights["uf"], weights["bf"])
+        back = run_lstm(x[::-1], mask[::-1], weights["wb"], weights["ub"], weights["bb"])[0][::-1]
         score = fore @ weights["vf"] + back @ weights["vb"] + x @ weights["vx"] + weights["c"]
         for g, k in enumerate(group):
             out[k] = score[: sizes[g], g] > 0
@@ -202,6 +294,23 @@ def main_blocks(pages: list[np.ndarray], weights: dict[str, np.ndarray]) -> list
     return out
 
 
+def long_page(blocks: list[Block], weights: dict[str, np.ndarray], part: int = GROUP_BLOCKS // 4) -> np.ndarray:
+    """Which blocks of one page of any number of blocks are main text: ``part`` blocks at a time, with the network's state carried on."""
+    n = len(blocks)
+    score = np.empty(n, np.float32)
+    state = None
+    for i in range(0, n, part):
+        x = vectors(blocks[i : i + part], i, n)[:, None]
+        h, state = run_lstm(x, np.ones((len(x), 1), np.float32), weights["wf"], weights["uf"], weights["bf"], state)
+        score[i : i + part] = (h @ weights["vf"] + x @ weights["vx"] + weights["c"])[:, 0]
+    state = None
+    for i in range((n - 1) // part * part, -1, -part):
+        x = vectors(blocks[i : i + part], i, n)[::-1, None]
+        h, state = run_lstm(x, np.ones((len(x), 1), np.float32), weights["wb"], weights["ub"], weights["bb"], state)
+        score[i : i + part] += (h @ weights["vb"])[::-1, 0]
+    return score > 0
+
+
 @lru_cache(maxsize=1)
 def load_weights() -> dict[str, np.ndarray]:
     with np.load(Path(__file__).with_name("html_model.npz")) as z:
@@ -211,7 +320,8 @@ def load_weights() -> dict[str, np.ndarray]:
 def extract(pages: list[str], weights: dict[str, np.ndarray]) -> list[tuple[str, int, int]]:
     """Main text, blocks and main blocks of each page."""
     cut = [blocks_of(p) for p in pages]
-    keep = main_blocks([vectors(b) for b in cut], weights)
+    keep = main_blocks([vectors(b if len(b) <= GROUP_BLOCKS else []) for b in cut], weights)
+    keep = [k if len(b) <= GROUP_BLOCKS else long_page(b, weights) for b, k in zip(cut, keep)]
     return [("\n".join(t for (t, _, _), k in zip(b, own.tolist()) if k), len(b), int(own.sum())) for b, own in zip(cut, keep)]
 
 
