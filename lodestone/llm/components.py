@@ -1,7 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star.
 
-Both steps are a minimum a node and a join, never a list of neighbours, so a node with any
-number of edges is no single task's burden. Every round is saved to the shared folder.
+Both steps take a minimum a node and hand it to the node's neighbours. Neighbours are first cut into
+``SALTS`` shares by a hash: each share finds its own minimum, the minima of a node's shares meet, and the
+result goes back to the shares, so a node with any number of edges is dealt to as many tasks. Every
+round is saved to the shared folder.
 """
 
 from __future__ import annotations
@@ -12,17 +14,28 @@ from pyspark.sql import functions as F
 from lodestone.llm.runtime import save
 
 
+#: Shares of a node's neighbours.
+SALTS = 64
+
+
+def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edges`` (u, v) with ``m``, the least v of each u; and the table (u, m)."""
+    dealt = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    shares = dealt.groupBy("u", "s").agg(F.min("v").alias("m"))
+    least = shares.groupBy("u").agg(F.min("m").alias("m"))
+    back = shares.select("u", "s").join(least, "u")
+    return dealt.join(back, ["u", "s"]).select("u", "v", "m"), least
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """``edges`` (u, v), u > v. Large: each node hooks its larger neighbours to its least; small: its smaller ones and itself."""
     if large:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # u's larger neighbours hang on m.
-        out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hooked, _ = _with_least(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        # u's larger neighbours hang on the least of u and its neighbours.
+        out = hooked.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        out = out.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        hooked, least = _with_least(edges)
+        out = hooked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return out.where("u > v").distinct()
 
 

@@ -7,18 +7,21 @@ if 100 * intersection >= ``percent`` * union.
 1. One pass over the texts gives each set's size, a 128-bit digest, ``BANDS * ROWS`` hash
    minima (a byte of each is kept as a sketch) and a key for each band of ``ROWS`` minima. At the
    similarity 0.85 a pair shares no band with a probability below 1e-6.
-2. Equal sets (equal digests) become one node, so copies cost nothing further on.
-3. Bands met by two or more nodes are buckets. A bucket pairs its members only with three of
-   its own (least, greatest, least by a hash): linear in its size. Sketches drop
+2. Equal sets (equal digests) become one node, named by a hash of the digest, so copies cost nothing further on.
+3. Bands met by two or more nodes are buckets. A bucket pairs its members with its least member only
+   (linear in its size; over all bands a node meets few different hubs). Sketches drop
    pairs that are far below the threshold (at 0.85, by more than seven standard deviations);
-   the others are verified on the full sets made from the whole texts.
+   the others are verified on the full sets made from the whole texts. A hub's sketch and text go to as many
+   tasks as its buckets have thousands of members (``HUB_SHARE`` members a share).
 4. Buckets whose members are then not all in one component are compared in full, but
    only between components, inside tasks of bounded size (a large bucket is cut into
    blocks, a task for each pair of blocks), and only pairs near the threshold leave
    a task. These are verified too. Nothing is capped, and no group emits all its pairs.
 5. Components by large-star and small-star.
 
-Null texts are empty; rows with a null id keep to themselves; repeated rows fall together. An empty table gives no rows.
+Null texts are empty; rows with a null id keep to themselves (``component_id`` null, kept); rows equal in id and set
+fall together, and rows of one id with unequal sets are nodes of their own, each with the least id that it reaches.
+Very long texts are blocks of their own. Other columns are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textcore as tc
@@ -37,6 +40,8 @@ from lodestone.llm.runtime import map_arrow, save, text_blocks
 WORDS, PERCENT = 5, 85
 BANDS, ROWS = 32, 6
 BLOCK = 1024
+#: Members of a bucket that share one copy of the hub.
+HUB_SHARE = 512
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
@@ -44,7 +49,7 @@ _STEPS = _RNG.integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(
 _FEW = _RNG.integers(0, 1 << 63, WORDS + 64, np.uint64)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, *range(9, 14)]] = True
-SET_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, sketch binary, bands array<long>"
+SET_SCHEMA = "doc_id long, digest long, n_shingles long, d1 long, d2 long, sketch binary, bands array<long>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +106,7 @@ def minima(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``SET_SCHEMA`` of each (doc_id, text)."""
+    """``SET_SCHEMA`` of each (doc_id, text, digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_blocks(batches, "text"):
@@ -125,8 +130,8 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     bands = tc.mix(bands ^ groups[:, :, r]) * np.uint64(0xD6E8FEB86659FD93)
             cuts = np.concatenate([[0], np.cumsum((counts > 0) * BANDS)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(rows.schema.get_field_index("doc_id")), pa.array(counts), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(bands.reshape(-1).view(np.int64)))],
-                names=["doc_id", "n_shingles", "d1", "d2", "sketch", "bands"],
+                [rows.column(rows.schema.get_field_index("doc_id")), rows.column(rows.schema.get_field_index("digest")), pa.array(counts), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(bands.reshape(-1).view(np.int64)))],
+                names=["doc_id", "digest", "n_shingles", "d1", "d2", "sketch", "bands"],
             )
 
     return map_arrow(docs, run, SET_SCHEMA)
@@ -138,11 +143,23 @@ def agreement(percent: int) -> int:
     return int(k * p - 7 * (k * p * (1 - p)) ** 0.5)
 
 
+def beside(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Pairs (a, b, hub, size) with the columns x of a ``table`` (node, x) of their members and hubs as ``ta`` and ``tb`` (a is the member, b the hub).
+
+    The member's value travels once; the hub's as often as ``size`` (members of its bucket) has shares.
+    """
+    salted = pairs.select(F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("m"), "hub", F.ceil(F.col("size") / HUB_SHARE).cast("int").alias("shares"))
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("m"), F.col("shares")).cast("int"))
+    value = next(c for c in table.columns if c != "node")
+    hubs = salted.select("hub", "salt").distinct().join(table.select(F.col("node").alias("hub"), F.col(value).alias("tb")), "hub")
+    members = salted.join(table.select(F.col("node").alias("m"), F.col(value).alias("ta")), "m")
+    return members.join(hubs, ["hub", "salt"]).select(F.col("m").alias("a"), F.col("hub").alias("b"), "ta", "tb")
+
+
 def near_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and sketches allow a link."""
-    left = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
+    """Of the pairs (a, b, hub, size) those whose sizes and sketches allow a link: a, b with a < b, hub, size."""
+    both = beside(pairs, nodes.select("node", F.struct("n_shingles", "sketch").alias("x")))
+    both = both.where(100 * F.least("ta.n_shingles", "tb.n_shingles") >= percent * F.greatest("ta.n_shingles", "tb.n_shingles")).select("a", "b", "ta.sketch", "tb.sketch")
     least = agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +169,8 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 keep = pa.array((sa == sb).sum(1) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return map_arrow(both, run, "a long, b long")
+    near = map_arrow(both.toDF("a", "b", "sa", "sb"), run, "a long, b long")
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("b").alias("hub"))
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
@@ -160,8 +178,8 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs whose full sets are linked. ``texts``: node, text."""
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    """The pairs (a, b, hub, size) whose full sets are linked: a, b. ``texts``: node, text."""
+    both = beside(pairs, texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +209,8 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     cut = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
-    total = members.count()
+    # Rows as dealt: a member of a bucket of k blocks goes to k tasks' groups.
+    total = cut.agg(F.sum("blocks").alias("n")).first()["n"] or 0
     parts = max(1, total // 5_000)
     # Small buckets share a task; each pair of blocks of a large one goes its own way.
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(parts)))
@@ -229,46 +248,71 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     return dealt.select("part", "bucket", "low", "high", "mine", "node", "n_shingles", "component", "sketch").groupBy("part").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's set size, component (the least id that links reach), and whether it is the one kept."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _node(*key: str) -> Column:
+    """The name of a set in links: a hash of its digest."""
+    return F.xxhash64(*key)
+
+
+KEY = ("d1", "d2", "n_shingles")
+
+
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"))
+
+
+def _grouped(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, digest (of the text), n_shingles, component_id of every row."""
+    plain = _plain(docs, id_col, text_col)
     sets = save(signatures(plain, words))
     full = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    key = ["d1", "d2", "n_shingles"]
-    classes = full.groupBy(*key).agg(F.min("doc_id").alias("node"))
-    nodes = save(full.join(classes, key).where("doc_id = node").dropDuplicates([*key]).select("node", *key, "sketch", "bands"))
+    classes = save(full.groupBy(*KEY).agg(F.min(F.struct("doc_id", "digest")).alias("first")).select(_node(*KEY).alias("node"), *KEY, "first"))
+    own = full.join(classes, [*KEY]).where((F.col("doc_id") == F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest")))
+    nodes = save(own.dropDuplicates(["node"]).select("node", F.col("first.doc_id").alias("doc_id"), "digest", "n_shingles", "sketch", "bands"))
     # Buckets that two or more nodes share.
     exploded = nodes.select(F.explode("bands").alias("bucket"), "node")
-    shared = exploded.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("any"), F.count("*").alias("size")).where("lo < hi")
-    members = save(exploded.join(shared, "bucket").select("bucket", "node", "lo", "hi", F.col("any.node").alias("mid"), "size"))
+    shared = exploded.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("size")).where("hub < top").select("bucket", "hub", "size")
+    members = save(exploded.join(shared, "bucket").select("bucket", "node", "hub", "size"))
     sketches = nodes.select("node", "n_shingles", "sketch")
-    stars = members.select("node", F.explode(F.array("lo", "mid", "hi")).alias("hub")).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    tried = save(near_pairs(stars, sketches, percent))
-    texts = _texts(plain, tried)
-    links = save(verified(tried, texts, percent, words))
-    first = components(links)
+    # A bucket's hub is its least member, so a pair has one hub; of several buckets the largest counts.
+    stars = save(members.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.max("size").alias("size")).withColumn("hub", F.col("a")))
+    tried = save(near_pairs(stars, sketches, percent).join(stars.select("a", "b", "size"), ["a", "b"]))
+    links = save(verified(tried, _texts(plain, nodes, tried), percent, words))
+    label = components(links)
     # Buckets that still hold several components.
-    labelled = members.join(first, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
+    labelled = members.join(label, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
     open_ = save(labelled.join(mixed, "bucket").join(sketches, "node").select("bucket", "node", "n_shingles", "sketch", "component", "size"))
     more = save(cross_pairs(open_, percent).join(tried, ["a", "b"], "left_anti"))
-    found = save(verified(more, _texts(plain, more), percent, words))
-    last = components(links.union(found)) if not found.isEmpty() else first
-    joined = sets.select("doc_id", *key).join(classes, key, "left").join(last, "node", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    if not more.isEmpty():
+        # The end that stands in more pairs is the hub, and how often it does decides into how many shares its pairs fall.
+        ends = more.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+        more = more.join(ends.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(ends.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+        more = save(more.select("a", "b", F.when(F.col("na") >= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("hub"), F.greatest("na", "nb").alias("size")))
+        found = save(verified(more, _texts(plain, nodes, more), percent, words))
+        label = components(links.union(found))
+    linked = classes.join(label, "node", "left").select(*KEY, F.coalesce("component", "node").alias("component"), F.col("first.doc_id").alias("doc_id"))
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = save(linked.join(least, "component").select(*KEY, "component_id"))
+    joined = sets.select("doc_id", "digest", *KEY).join(named, [*KEY], "left")
+    return joined.select("doc_id", "digest", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each row's set size, component (the least id that links reach), and whether it is the one kept."""
+    rows = _grouped(docs, percent, words, id_col, text_col)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _texts(plain: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The whole texts of the nodes in pairs: node, text. A node's equal ids have one row."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return plain.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "text")
+def _texts(plain: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The whole texts of the nodes in pairs: node, text."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "digest"), "node")
+    return plain.join(ids, ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "text")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` of which none with a lesser id is a near-duplicate; rows equal in id and text become one, rows with a null id stay."""
-    kept = near_duplicates(docs, percent, words, id_col, text_col).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.select(F.struct("*").alias("row")).withColumn("id", F.col("row")[id_col].cast("long")).withColumn("digest", F.xxhash64(F.col("row")[text_col]))
-    own = rows.where("id IS NOT NULL").join(kept, F.col("id") == F.col("_kept"), "left_semi").dropDuplicates(["id", "digest"])
+    kept = _grouped(docs, percent, words, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"), F.col("digest").alias("_digest")).distinct()
+    rows = docs.select(F.struct("*").alias("row")).withColumn("id", F.col("row")[id_col].cast("long")).withColumn("digest", F.xxhash64(F.coalesce(F.col("row")[text_col], F.lit(""))))
+    own = rows.where("id IS NOT NULL").join(kept, (F.col("id") == F.col("_kept")) & (F.col("digest") == F.col("_digest")), "left_semi").dropDuplicates(["id", "digest"])
     both = own.union(rows.where("id IS NULL"))
     return both.select(*[F.col("row")[c].alias(c) for c in docs.columns])
