@@ -1,20 +1,23 @@
 """Quality rules by the divergence of a document's histograms from those of its language.
 
-Two histograms are taken of each whole text: of character classes (upper-case letters, digits,
-marks of punctuation, symbols, blanks, the rest), and of common words (the ``COMMON_WORDS``
+Two histograms are taken of each whole text: of character classes (upper-case and lower-case letters, digits,
+marks of punctuation, symbols, white space, the rest), and of common words (the ``COMMON_WORDS``
 most frequent words with a letter, of whatever length, of each language; words without a letter,
-such as ``|``, as one bin; and all other words as one bin).
+such as ``|``, as one bin; and all other words as one bin). Words are parted alike in documents and references.
 References come from all documents of each non-null ``lang``: class counts and word
-counts summed over the whole corpus. A document is compared with each reference by
+counts summed over the whole corpus, in one scan. A document is compared with each reference by
 Jensen-Shannon distance (base 2, 0 to 1) and passes if one language is near enough in
 both: a text without one common word is as far from a reference as that reference's common words
 hold shares, and the word distance must stay below ``MAX_WORD_PART`` of that. Guards: a text of fewer than ``MIN_WORDS`` words, or with more than half of its words in
 repeated three-word windows, fails before; a language with fewer than ``MIN_REFERENCE_WORDS``
 words gives no reference, and where there is no reference at all nothing is rejected by
-distance.
+distance. At most ``MAX_LANGUAGES`` values of ``lang`` are languages, those with the most words: the others (a column may
+hold dirt) give no reference, as rare languages don't.
 
 Everything runs as DataFrame expressions. A null text has no words; null languages give no
-reference; repeated rows count and are judged as often as they appear; an empty table gives no rows.
+reference; repeated rows count and are judged as often as they appear, and rows of one id apart; of languages equally near the first
+by name counts; very long texts cost time linear in their length but for one sort of their words; columns of any name may stand beside
+(those of the result replace their like); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,8 +41,11 @@ MAX_WORD_DISTANCE = 0.445
 MAX_WORD_PART = 0.95
 #: The bin of the words without a letter; no word is empty.
 LETTERLESS = ""
+#: The most values of ``lang`` that become references: each is an expression of the plan.
+MAX_LANGUAGES = 250
 WHITE = r"[\x20\x09-\x0D]+"
-CLASSES = {"upper": r"\p{Lu}", "number": r"[0-9]", "mark": r"[.,;:'\"()\-]", "symbol": r"[#*$%&|<>!?=_/\\+~^@\[\]{}`]"}
+MARKS, SYMBOLS = r"[.,;:'\"()\-]+", r"[#*$%&|<>!?=_/\\+~^@\[\]{}`]+"
+CLASSES = ("upper", "lower", "number", "mark", "symbol", "white")
 
 
 def words_of(text: Column) -> Column:
@@ -66,11 +72,22 @@ def repeated_words(words: Column) -> Column:
     """How many words lie in three-word windows that occur twice or more in the text."""
 
     def covered(windows: Column) -> Column:
-        def count(s: Column) -> Column:
-            twice = F.filter(s, lambda x, k: F.get(s, k - 1)["h"].eqNullSafe(x["h"]) | F.get(s, k + 1)["h"].eqNullSafe(x["h"]))
-            return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+        # A window's hash gives way to its place in the low bits, so plain numbers are sorted; neighbours are then compared whole.
+        bits = F.ceil(F.log2(F.size(windows) + F.lit(1.0)))
 
-        return let(F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), count)
+        def placed(mask: Column) -> Column:
+            packed = F.sort_array(F.transform(windows, lambda h, i: h.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))
+
+            def like(s: Column) -> Column:
+                own = lambda k: F.get(windows, F.get(s, k).bitwiseAND(mask).cast("int"))
+                twice = F.filter(s, lambda x, k: own(k - 1).eqNullSafe(F.get(windows, x.bitwiseAND(mask).cast("int"))) | own(k + 1).eqNullSafe(F.get(windows, x.bitwiseAND(mask).cast("int"))))
+                return F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(mask).cast("int")))
+
+            places = let(packed, like)
+            # Each window covers three words, or those up to the next one.
+            return let(places, lambda at: F.aggregate(F.transform(at, lambda x, k: F.least(F.coalesce(F.get(at, k + 1) - x, F.lit(3)), F.lit(3))), F.lit(0), lambda n, x: n + x))
+
+        return let(F.pow(F.lit(2.0), bits).cast("long") - 1, placed)
 
     def windows(h: Column) -> Column:
         return F.slice(F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))), 1, F.greatest(F.size(h) - 2, F.lit(0)))
@@ -78,17 +95,46 @@ def repeated_words(words: Column) -> Column:
     return let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(covered(w)))
 
 
-def class_counts(text: Column) -> list[Column]:
-    """Characters of each class in a text."""
-    blanks = F.length(text) - F.length(F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")))
-    return [F.regexp_count(text, F.lit(r)).cast("long").alias(f"_{c}") for c, r in CLASSES.items()] + [F.length(text).cast("long").alias("_chars"), blanks.cast("long").alias("_white")]
+def class_counts(text: Column) -> Column:
+    """Characters of each class in a text: a struct of longs, with ``chars`` (all) and ``noted`` (``[#*$%&|<>]``).
+
+    One pass writes A, a and 0 for upper-case and lower-case letters and digits; the other classes are counted in the little that is left without these.
+    """
+
+    def lost(x: Column, pattern: str) -> Column:
+        return F.length(x) - F.length(F.regexp_replace(x, pattern, ""))
+
+    def counts(masked: Column) -> Column:
+        rest = F.regexp_replace(masked, "[Aa0]+", "")
+
+        def inner(s: Column) -> Column:
+            solid = s["solid"]
+            upper, number = (F.length(masked) - F.length(F.replace(masked, F.lit(x), F.lit(""))) for x in "A0")
+            parts = {
+                "upper": upper, "number": number, "lower": F.length(masked) - F.length(s["rest"]) - upper - number, "white": F.length(s["rest"]) - F.length(solid),
+                "mark": lost(solid, MARKS), "symbol": lost(solid, SYMBOLS), "noted": lost(solid, r"[#*$%&|<>]+"), "chars": F.length(masked),
+            }
+            return F.struct(*[c.cast("long").alias(n) for n, c in parts.items()])
 
+        return let(let(rest, lambda r: F.struct(r.alias("rest"), F.regexp_replace(r, WHITE, "").alias("solid"))), inner)
 
-def common_words(docs: DataFrame, k: int = COMMON_WORDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The ``k`` most frequent words with a letter of each language, with their counts over all documents."""
-    lettered = F.filter(bare_words(F.coalesce(F.col(text_col), F.lit(""))), lambda w: ~letterless(w))
-    words = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(lettered).alias("word"))
-    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    return let(F.mask(text, F.lit("A"), F.lit("a"), F.lit("0"), F.lit(None)), counts)
+
+
+def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Of each language over all its documents: how often each word with a letter occurs (lang, word, n), all words without one as ``LETTERLESS``, and the characters of each class as a blank and its name."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), text.alias("_text")).withColumn("_c", class_counts(F.col("_text")))
+    words = F.transform(bare_words(F.col("_text")), lambda w: F.struct(F.when(letterless(w), LETTERLESS).otherwise(w).alias("word"), F.lit(1).cast("long").alias("n")))
+    # A class goes as a word that no text can hold: it begins with a blank.
+    classes = F.array(*[F.struct(F.lit(f" {c}").alias("word"), F.col("_c")[c].alias("n")) for c in (*CLASSES, "chars")])
+    pairs = rows.select("lang", F.inline(F.concat(words, classes)))
+    return pairs.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def common_words(counts: DataFrame, k: int = COMMON_WORDS) -> DataFrame:
+    """The ``k`` most frequent words with a letter of each language in ``word_counts``."""
+    counts = counts.where("word <> '' AND NOT startswith(word, ' ')")
     # The best k of each hash part first, so no task sorts a language's whole vocabulary.
     order = [F.desc("n"), F.col("word")]
     part = counts.withColumn("_part", F.pmod(F.xxhash64("word"), F.lit(64)))
@@ -104,19 +150,21 @@ def js_terms(p: Column, q: Column) -> Column:
 
 
 def with_counts(df: DataFrame, text: str, vocabulary: list[str]) -> DataFrame:
-    """Add the base counts, the class counts and the counts of the vocabulary's words of a non-null text column."""
-    df = df.withColumn("_words", words_of(F.col(text))).withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))))
-    listed = F.transform(F.filter(bare_words(F.col(text)), lambda w: w.isin(vocabulary) | letterless(w)), lambda w: F.when(w.isin(vocabulary), w).otherwise(LETTERLESS)) if vocabulary else F.array().cast("array<string>")
+    """Add the base counts, the class counts and the counts of the vocabulary's words (by their hashes) of a non-null text column."""
+    df = df.withColumn("_words", words_of(F.col(text))).withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))).withColumn("_bare", bare_words(F.col(text))).withColumn("_c", class_counts(F.col(text)))
+    known = lambda w: w.isin(vocabulary)
+    listed = F.transform(F.filter("_bare", lambda w: known(w) | letterless(w)), lambda w: F.xxhash64(F.when(known(w), w).otherwise(LETTERLESS))) if vocabulary else F.array().cast("array<bigint>")
     df = df.select(
         "*",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.col("_c.noted").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_words")).cast("long").alias("n_repeat_words"),
-        *class_counts(F.col(text)),
+        *[F.col(f"_c.{c}").alias(f"_{c}") for c in (*CLASSES, "chars")],
+        F.size("_bare").cast("long").alias("_n"),
         F.sort_array(listed).alias("_listed"),
-    ).drop("_words", "_lines")
+    ).drop("_words", "_lines", "_bare", "_c")
 
     def runs(s: Column) -> Column:
         ends = F.filter(F.transform(s, lambda w, k: F.struct(w.alias("w"), (k + 1).alias("at"))), lambda x: ~F.get(s, x["at"]).eqNullSafe(x["w"]))
@@ -125,45 +173,51 @@ def with_counts(df: DataFrame, text: str, vocabulary: list[str]) -> DataFrame:
     return df.withColumn("_common", runs(F.col("_listed"))).drop("_listed")
 
 
-def references(docs: DataFrame, top: DataFrame, text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_REFERENCE_WORDS) -> dict[str, tuple[dict[str, float], dict[str, float]]]:
+def references(counts: DataFrame, top: DataFrame, min_words: int = MIN_REFERENCE_WORDS) -> dict[str, tuple[dict[str, float], dict[str, float]]]:
     """Of each language the shares of the classes, and of its common words and the words without a letter; a few numbers a language."""
+    sums = counts.groupBy("lang").agg(
+        F.sum(F.when(~F.startswith("word", F.lit(" ")), F.col("n"))).alias("_n"), *[F.coalesce(F.sum(F.when(F.col("word") == w, F.col("n"))), F.lit(0)).alias(c) for c, w in [("letterless", LETTERLESS), *((c, f" {c}") for c in (*CLASSES, "chars"))]]
+    )
+    sums = {r["lang"]: r for r in sums.where(f"_n >= {min_words}").orderBy(F.desc("_n"), "lang").limit(MAX_LANGUAGES).collect()}
     words: dict[str, dict[str, int]] = {}
-    for r in top.collect():
+    for r in top.where(F.col("lang").isin(list(sums))).collect() if sums else ():
         words.setdefault(r["lang"], {})[r["word"]] = r["n"]
-    names = [*(f"_{c}" for c in CLASSES), "_chars", "_white", "_n", "_letterless"]
-    own = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sums = own.select(F.col(lang_col).alias("lang"), *class_counts(F.col(text_col)), let(bare_words(F.col(text_col)), lambda ws: F.struct(F.size(ws).cast("long").alias("n"), F.size(F.filter(ws, letterless)).cast("long").alias("letterless"))).alias("_w"))
-    sums = sums.select("*", F.col("_w.n").alias("_n"), F.col("_w.letterless").alias("_letterless")).groupBy("lang").agg(*[F.sum(c).alias(c) for c in names])
     out = {}
-    for r in sums.collect():
-        if r["lang"] in words and r["_n"] >= min_words:
-            counts = {c: r[f"_{c}"] for c in [*CLASSES, "white"]}
-            counts["rest"] = r["_chars"] - sum(counts.values())
-            out[r["lang"]] = ({c: max(n, 0) / r["_chars"] for c, n in counts.items()}, {w: n / r["_n"] for w, n in {**words[r["lang"]], LETTERLESS: r["_letterless"]}.items()})
+    for lang, r in sums.items():
+        if lang in words:
+            own = {c: r[c] for c in CLASSES}
+            own["rest"] = r["chars"] - sum(own.values())
+            out[lang] = ({c: max(n, 0) / r["chars"] for c, n in own.items()}, {w: n / r["_n"] for w, n in {**words[lang], LETTERLESS: r["letterless"]}.items()})
     return out
 
 
 def class_distance(shares: dict[str, float]) -> Column:
     """Distance of the row's class histogram from a reference's."""
     chars = F.greatest(F.col("_chars"), F.lit(1)).cast("double")
-    own = {c: F.col(f"_{c}") / chars for c in [*CLASSES, "white"]}
+    own = {c: F.col(f"_{c}") / chars for c in CLASSES}
     own["rest"] = F.greatest(F.lit(0.0), F.lit(1.0) - reduce(lambda a, b: a + b, own.values()))
     return F.sqrt(F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, [js_terms(p, F.lit(shares[c])) for c, p in own.items()])))
 
 
-def word_distance(shares: dict[str, float]) -> Column:
+def word_distance(shares: dict[str, float], hashes: dict[str, int]) -> Column:
     """Distance of the row's common-word histogram from a reference's; words it lacks add half their share."""
     names = sorted(shares)
-    total = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    codes = F.array(*[F.lit(hashes[w]) for w in names])
+    total = F.greatest(F.col("_n"), F.lit(1)).cast("double")
     q = F.array(*[F.lit(shares[w]) for w in names])
-    mine = F.filter("_common", lambda x: x["w"].isin(names))
-    pairs = F.transform(mine, lambda x: F.struct((x["n"] / total).alias("p"), F.element_at(q, F.array_position(F.array(*[F.lit(w) for w in names]), x["w"]).cast("int")).alias("q")))
+    mine = F.filter("_common", lambda x: x["w"].isin([hashes[w] for w in names]))
+    pairs = F.transform(mine, lambda x: F.struct((x["n"] / total).alias("p"), F.element_at(q, F.array_position(codes, x["w"]).cast("int")).alias("q")))
     sums = F.aggregate(pairs, F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q")), lambda a, x: F.struct((a["d"] + js_terms(x["p"], x["q"])).alias("d"), (a["p"] + x["p"]).alias("p"), (a["q"] + x["q"]).alias("q")))
     all_q = math.fsum(shares.values())
     other = lambda a: js_terms(F.greatest(F.lit(0.0), 1.0 - a["p"]), F.lit(max(0.0, 1.0 - all_q)))
     return F.sqrt(F.greatest(F.lit(0.0), F.element_at(F.transform(F.array(sums), lambda a: a["d"] + F.greatest(F.lit(0.0), all_q - a["q"]) / 2 + other(a)), 1)))
 
 
+def word_hashes(spark: SparkSession, words: list[str]) -> dict[str, int]:
+    """The hashes by which rows name the words of the vocabulary."""
+    return {r[0]: r[1] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w")).collect()}
+
+
 def word_limit(shares: dict[str, float], max_word: float) -> float:
     """The largest word distance from a reference that is allowed: less than that of a text without a common word."""
     listed = math.fsum(shares.values())
@@ -175,13 +229,14 @@ def word_limit(shares: dict[str, float], max_word: float) -> float:
 
 def judged(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` with each row's counts, its nearest language (``near_lang``), the two distances from it, and the verdict."""
-    top = save(common_words(docs, text_col=text_col, lang_col=lang_col))
-    vocabulary = sorted(r["word"] for r in top.select("word").distinct().collect())
-    refs = references(docs, top, text_col, lang_col)
+    counts = save(word_counts(docs, text_col, lang_col))
+    refs = references(counts, common_words(counts))
+    vocabulary = sorted({w for _, shares in refs.values() for w in shares if w != LETTERLESS})
+    hashes = word_hashes(docs.sparkSession, [*vocabulary, LETTERLESS])
     rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     df = with_counts(rows, "_text", vocabulary)
     none = F.lit(None).cast("struct<worst:double,word:double,cls:double,near:string>")
-    options = F.array(*[F.struct(word_distance(w).alias("word"), class_distance(c).alias("cls"), F.lit(lang).alias("near"), F.lit(word_limit(w, max_word)).alias("limit")) for lang, (c, w) in sorted(refs.items())])
+    options = F.array(*[F.struct(word_distance(w, hashes).alias("word"), class_distance(c).alias("cls"), F.lit(lang).alias("near"), F.lit(word_limit(w, max_word)).alias("limit")) for lang, (c, w) in sorted(refs.items())])
     near = lambda xs: F.transform(xs, lambda o: F.struct(F.greatest(o["word"] / o["limit"], o["cls"] / max_class).alias("worst"), o["word"].alias("word"), o["cls"].alias("cls"), o["near"].alias("near")))
     df = df.withColumn("_best", F.array_min(near(options)) if refs else none)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
