@@ -8,19 +8,22 @@ merge over their border comes before the merges that close either side, so each
 exactly one last token, hence one next state, and the change of the token count is that
 transition's output. States are determinised when first met and interned; equal futures of
 different pasts meet in one state. A second output gives the count if the byte ends the word.
-The automaton restarts between blocks once it holds ``STATE_LIMIT`` states, so it is bounded
-and always exact.
-
-**Parallel scan.** A block's word bytes are cut into chunks of ``CHUNK`` bytes that advance
-together, one table lookup a step for all. Any word start resets the state, so a chunk's map
-from its first to its last state is constant after its first word start; only the part
-before depends on the state that comes in. The maps are composed left to right: parts whose
-incoming state is known advance together until none is left, and output
-sums give each text's count.
+The automaton starts anew between blocks once it holds ``STATE_LIMIT`` states; should one block alone
+need ``HARD_LIMIT`` states, or an output not fit its field, the library counts that block's texts. So it is bounded and always exact.
+
+**Parallel prefix scan.** A block's word bytes are cut into chunks of ``CHUNK`` bytes that advance
+together, one table lookup a step for all. A chunk's map takes the state before it to the state after it
+and the sum of its outputs. Any word start resets the state, so after its first word start a chunk's map is constant.
+A chunk without one lies inside a long word; its map is kept for the states that can come in, at first
+the one that a chunk's length of the word itself leads to (the automaton forgets its past within
+a token or two). Maps are composed by pointer doubling: after k rounds a chunk knows the map of the 2**k
+chunks up to it. Where the true state that comes in has no entry yet, it is added and the scan is
+repeated, until all agree.
 
 The library's own steps before BPE (NFC, lower case, word pattern) are done on whole blocks.
 A text with an added token's string or an unassigned code point goes to the library whole.
-A null text is an empty one; repeated rows give equal rows; an empty table gives no rows.
+A null text is an empty one; very long texts and words cost no more a byte than short ones; repeated rows and rows of one id are counted
+each by itself; other columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,16 +44,23 @@ from lodestone.llm.runtime import id_and_text, map_arrow, text_blocks
 
 TOKEN_LIMIT = 2048
 STATE_LIMIT = 150_000
+HARD_LIMIT = 1_000_000
 CHUNK = 128
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 _END = "\uffff"
 _NEVER = 1 << 40
+#: An entry of the table is a state times FIELD, and an output plus ZERO.
+FIELD, ZERO = 1 << 10, 1 << 9
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 Place = tuple[str, frozenset[tuple[str, int]], int]
 
 
+class Full(Exception):
+    """The automaton can't hold what a block needs."""
+
+
 class Transducer:
     """The lazily compiled automaton: state 0 is a word's start."""
 
@@ -106,7 +116,7 @@ class Transducer:
         self._grow(1 << 12, 64)
 
     def _grow(self, rows: int, width: int) -> None:
-        """The table: for each state, and each byte inside and at the end of a word, 64 * next state + output + 32; -1: not known yet."""
+        """The table: for each state, and each byte inside and at the end of a word, ``FIELD`` * next state + output + ``ZERO``; -1: not known yet."""
         table = np.full((rows, 2 * width), -1, np.int32)
         if self._rows:
             table[: self._rows, : 2 * self._columns] = self.table
@@ -167,11 +177,15 @@ class Transducer:
         places = (*((p, f, c - change) for p, f, c in kept), ("", self._forbidden_after(token), 0))
         number = self._number.get(places)
         if number is None:
+            if len(self._states) >= HARD_LIMIT:
+                raise Full
             number = self._number[places] = len(self._states)
             self._states.append(places)
             if number >= self._rows:
                 self._grow(2 * self._rows, self._columns)
-        self.table[state, 2 * column] = 64 * number + change + 32
+        if not -ZERO <= change < ZERO:
+            raise Full
+        self.table[state, 2 * column] = FIELD * number + change + ZERO
 
     def fill_last(self, state: int, column: int) -> None:
         """Compile the output of a state by a byte that ends the word."""
@@ -179,7 +193,9 @@ class Transducer:
         for part, forbidden, count in self._states[state]:
             token = part + x
             if token in self.tokens and self._stands(self._narrowed(forbidden, token), token):
-                self.table[state, 2 * column + 1] = count + 33
+                if not -ZERO <= count + 1 < ZERO:
+                    raise Full
+                self.table[state, 2 * column + 1] = count + 1 + ZERO
                 return
         raise ValueError("no token ends here")
 
@@ -212,7 +228,7 @@ class Transducer:
         order = np.argsort(head, kind="stable")
         awake = np.searchsorted(head[order], np.arange(chunk), "right").tolist()
         mine = columns[order].T.copy()
-        got = np.full((chunk, lanes), 32, np.int32)
+        got = np.full((chunk, lanes), ZERO, np.int32)
         run_state = np.zeros(lanes, np.int64)
         ends = chunk - pad  # steps of the last chunk
         short = int(np.flatnonzero(order == lanes - 1)[0])
@@ -223,29 +239,80 @@ class Transducer:
             if m:
                 step = self.advance(run_state[:m], mine[k, :m])
                 got[k, :m] = step
-                run_state[:m] = step >> 6
+                run_state[:m] = step // FIELD
         state, out = np.empty(lanes, np.int64), np.empty((lanes, chunk), np.int16)
         state[order] = run_state
-        out[order] = ((got & 63) - 32).T
-        # The parts before, in rounds of those whose incoming state is known.
-        known = head < chunk
+        out[order] = (got % FIELD - ZERO).T
         todo = np.flatnonzero(head > 0)
-        while len(todo):
-            ready = todo[known[todo - 1]]
-            s, longest = state[ready - 1], head[ready]
-            by = np.argsort(-longest, kind="stable")
-            ready, s, longest = ready[by], s[by], longest[by]
-            left = np.searchsorted(-longest, -np.arange(int(longest[0])), "left").tolist()
-            for k, m in enumerate(left):
-                step = self.advance(s[:m], columns[ready[:m], k])
-                out[ready[:m], k] = (step & 63) - 32
-                s[:m] = step >> 6
-            through = ~known[ready]
-            state[ready[through]] = s[through]
-            known[ready] = True
-            todo = todo[~np.isin(todo, ready)]
+        if len(todo):
+            # The parts before the first word starts: whole chunks (inside long words), and heads of chunks.
+            sums = self._scan(columns, head, state, todo, chunk)
+            out[todo] *= np.arange(chunk) >= head[todo, None]
+            flat = out.reshape(-1)[:n].astype(np.int64)
+            flat[todo * chunk] += sums  # a part lies inside one word, so its sum may stand at its first byte
+            return flat
         return out.reshape(-1)[:n].astype(np.int64)
 
+    def _through(self, columns: np.ndarray, lane: np.ndarray, steps: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after, and sums of outputs over, the first ``steps`` bytes of lanes."""
+        by = np.argsort(-steps, kind="stable")
+        s, total = state[by].copy(), np.zeros(len(lane), np.int64)
+        left = np.searchsorted(-steps[by], -np.arange(int(steps.max())), "left").tolist()
+        for k, m in enumerate(left):
+            step = self.advance(s[:m], columns[lane[by[:m]], k])
+            total[:m] += step % FIELD - ZERO
+            s[:m] = step // FIELD
+        back = np.empty_like(by)
+        back[by] = np.arange(len(by))
+        return s[back], total[back]
+
+    def _scan(self, columns: np.ndarray, head: np.ndarray, state: np.ndarray, todo: np.ndarray, chunk: int) -> np.ndarray:
+        """Sums of outputs over the parts before the first word starts of the lanes ``todo``; ``state``: after each lane that has one."""
+        inside = head[todo] == chunk  # whole chunks, whose maps are composed
+        whole = todo[inside]
+        # A chunk after one with a word start has its true state; others begin with a guess.
+        first = head[whole - 1] < chunk
+        enters = state[whole - 1].copy()
+        guess = np.flatnonzero(~first)
+        if len(guess):
+            enters[guess], _ = self._through(columns, whole[guess] - 1, np.full(len(guess), chunk), np.zeros(len(guess), np.int64))
+        lane, came = whole, enters
+        leaves, sums = self._through(columns, lane, np.full(len(lane), chunk), came) if len(lane) else (came, came)
+        maps = {(x, s): (z, t) for x, s, z, t in zip(lane.tolist(), came.tolist(), leaves.tolist(), sums.tolist())}
+        while len(whole):
+            # Pointer doubling over the entries: entry e hands on to the next chunk's entry for its last state.
+            keys = list(maps)
+            number = {k: e for e, k in enumerate(keys)}
+            jump = np.array([number.get((x + 1, maps[x, s][0]), -1) for x, s in keys])
+            real = np.zeros(len(keys), bool)
+            real[[number[x, s] for x, s in zip(whole[first].tolist(), enters[first].tolist())]] = True
+            reach = jump.copy()
+            while True:
+                sources = np.flatnonzero(real & (reach >= 0))
+                fresh = np.unique(reach[sources])
+                grown = real.copy()
+                grown[fresh] = True
+                if (grown == real).all() and (reach < 0).all():
+                    break
+                real, reach = grown, np.where(reach >= 0, reach[reach], -1)
+            here = {keys[e][0]: keys[e][1] for e in np.flatnonzero(real).tolist()}
+            # The first chunk of each word that no true state has reached yet gets the entry that it needs.
+            lost = [x for x in whole.tolist() if x not in here and x - 1 in here]
+            if not lost:
+                break
+            x = np.array(lost)
+            s = np.array([maps[y - 1, here[y - 1]][0] for y in lost])
+            z, t = self._through(columns, x, np.full(len(x), chunk), s)
+            maps.update(((a, b), (c, d)) for a, b, c, d in zip(lost, s.tolist(), z.tolist(), t.tolist()))
+        if len(whole):
+            state[whole] = [maps[x, here[x]][0] for x in whole.tolist()]
+        out = np.zeros(len(todo), np.int64)
+        out[inside] = [maps[x, here[x]][1] for x in whole.tolist()]
+        part = todo[~inside]
+        if len(part):
+            _, out[~inside] = self._through(columns, part, head[part], state[part - 1])
+        return out
+
 
 class Counter:
     """Counts tokens of whole blocks of texts for one tokenizer file."""
@@ -318,13 +385,21 @@ class Counter:
         keep = solid[char]
         word_bytes, first = text[keep], first_byte[keep]
         last = np.append(first[1:], True)
-        out = np.concatenate([[0], np.cumsum(self.automaton.run(word_bytes, first, last))])
+        try:
+            steps = self.automaton.run(word_bytes, first, last)
+        except Full:
+            self.automaton.restart()
+            return np.array([self._exact(raw, offsets, r) for r in range(n)], np.int64)
+        out = np.concatenate([[0], np.cumsum(steps)])
         kept_before = np.concatenate([[0], np.cumsum(keep)])[at]
         counts = np.diff(out[kept_before])
         for r in rare:
-            counts[r] = len(self.library.encode(raw[offsets[r] : offsets[r + 1]].decode(), add_special_tokens=False).ids)
+            counts[r] = self._exact(raw, offsets, r)
         return counts
 
+    def _exact(self, raw: bytes, offsets: np.ndarray, r: int) -> int:
+        return len(self.library.encode(raw[offsets[r] : offsets[r + 1]].decode(), add_special_tokens=False).ids)
+
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
