@@ -1,9 +1,9 @@
 """Language identification by script, word scores and a Viterbi path through each text.
 
 **Learning.** Labelled documents of the training part (crc32 of the id as text, modulo 4, is
-not 2) are drawn by a hash of the id, about ``PER_LANGUAGE`` a language: a bounded sample. Counts of
-their words' byte n-grams (1 to 4 bytes, with word borders) in ``BUCKETS`` hashed buckets
-give smoothed log probabilities for each language, and their letters the scripts that it uses.
+not 2) are drawn by a hash of the id, about ``PER_LANGUAGE`` a language: a bounded sample. Executors count
+their words' byte n-grams (1 to 4 bytes, with word borders) in ``BUCKETS`` hashed buckets, and their letters by script; only these
+counts go to the driver, of a size that texts don't change. They give smoothed log probabilities for each language, and the scripts that it uses.
 
 **Labelling.** A word is a run of letters. Its script narrows the candidates to languages
 that use it; each candidate's score is the sum of its n-grams' log probabilities. The
@@ -16,7 +16,8 @@ The prediction is the language with the most letters on the path and the score i
 all letters; letters of words in a script that no language uses count for none, so a text of such words alone
 has score 0, whatever language is named. A text that is null or has no letter is ``und`` with score 0. The
 filter drops texts below ``MIN_SCORE``. Nothing but the text
-enters a prediction. Repeated rows give equal rows; an empty table gives no rows.
+enters a prediction; of languages with equally many letters the first by name is named. Any number of languages may be learned. Repeated rows
+give equal rows, rows of one id each its own; columns of other names are carried or ignored, never read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -132,21 +133,18 @@ class Model:
     uses: np.ndarray  # scripts x languages: 0, or FOREIGN
 
 
-def train(texts: list[str], labels: list[str]) -> Model:
-    """Count n-grams of labelled texts."""
-    langs = sorted(set(labels))
-    counts = np.zeros((BUCKETS, len(langs)))
-    scripts = np.zeros((N_SCRIPTS, len(langs)))
-    for j, lang in enumerate(langs):
-        data, offsets = tc.utf8_column(pa.array([t for t, x in zip(texts, labels) if x == lang]))
-        for i, k in tc.blocks(offsets):
-            w = find_words(data[offsets[i] : offsets[k]], offsets[i : k + 1] - offsets[i])
-            if not len(w.start):
-                continue
-            _, at, times = np.unique(w.key, return_index=True, return_counts=True)
-            bucket, owner = grams(w.data, w.start[at], w.end[at])
-            counts[:, j] += np.bincount(bucket, times[owner], BUCKETS)
-            scripts[:, j] += np.bincount(w.script, w.letters, N_SCRIPTS)
+def counted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences of each n-gram bucket, and letters of each script, in a block of texts."""
+    w = find_words(data, offsets)
+    if not len(w.start):
+        return np.zeros(BUCKETS, np.int64), np.zeros(N_SCRIPTS, np.int64)
+    _, at, times = np.unique(w.key, return_index=True, return_counts=True)
+    bucket, owner = grams(w.data, w.start[at], w.end[at])
+    return np.bincount(bucket, times[owner], BUCKETS).astype(np.int64), np.bincount(w.script, w.letters, N_SCRIPTS).astype(np.int64)
+
+
+def model_of(langs: list[str], counts: np.ndarray, scripts: np.ndarray) -> Model:
+    """From counts (buckets x languages, scripts x languages) of at least one language."""
     share = (counts + 0.05) / (counts + 0.05).sum(0)
     table = np.log(share)
     table -= table.mean(1, keepdims=True)
@@ -214,7 +212,7 @@ class Labeller:
         by = np.argsort(-per, kind="stable")
         left = np.searchsorted(-per[by], -np.arange(rounds), "left").tolist()
         best = np.zeros((len(counts), langs), np.float32)
-        came = np.zeros((len(doc), langs), np.int8)
+        came = np.zeros((len(doc), langs), np.int32)
         for k in range(rounds):
             d = by[: left[k]]
             t = best[d][:, :, None] + matrix[begin[d] + k]
@@ -232,7 +230,7 @@ class Labeller:
         start, stop = start[order], stop[order]
         v = change[start]
         keep = np.zeros((longest, len(first), langs), bool)
-        lead = np.zeros((longest, len(first)), np.int8)
+        lead = np.zeros((longest, len(first)), np.int32)
         for k in range(longest):
             m = awake[k]
             if k:
@@ -275,8 +273,30 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id
     share = F.lit(0)
     for lang, n in sorted(sizes.items()):
         share = F.when(F.col("lang") == lang, min(1_000_000, -(-per_language * 1_000_000 // n))).otherwise(share)
-    rows = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).where("text IS NOT NULL").select("lang", "text").collect()
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    rows = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).where("text IS NOT NULL").select("lang", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, np.ndarray] = {}
+        for part, data, offsets in text_blocks(batches, "text"):
+            names = np.array(part.column(0).to_pylist(), object)
+            for lang in set(names.tolist()):
+                own = np.flatnonzero(names == lang)
+                sizes = (offsets[1:] - offsets[:-1])[own]
+                text = data[tc.ragged(offsets[:-1][own], sizes)]
+                found[lang] = found.get(lang, 0) + np.concatenate(counted(text, np.concatenate([[0], np.cumsum(sizes)])))
+        for lang, both in found.items():
+            at = np.flatnonzero(both)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(both[at])], names=["lang", "slot", "n"])
+
+    sums = map_arrow(rows, count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(sizes)
+    if not sums.num_rows:
+        return model_of(langs, np.zeros((BUCKETS, len(langs))), np.zeros((N_SCRIPTS, len(langs))))
+    number = {x: k for k, x in enumerate(langs)}
+    column = np.array([number[x] for x in sums.column("lang").to_pylist()])
+    table = np.zeros((BUCKETS + N_SCRIPTS, len(langs)))
+    table[sums.column("slot").to_numpy(), column] = sums.column("n").to_numpy()
+    return model_of(langs, table[:BUCKETS], table[BUCKETS:])
 
 
 def _ids(column: pa.Array) -> np.ndarray:

@@ -40,6 +40,7 @@ from lodestone.llm.runtime import map_arrow, ranked, save, text_blocks
 
 MIN_WORDS = 50
 LAST = (1 << 63) - 1
+SHARES = 16
 LINE_SCHEMA = "doc long, digest long, n int, line int, h1 long, h2 long, words int, upto long"
 WORD = r"[^\x20\x09-\x0D]"
 _WHITE = np.zeros(256, bool)
@@ -289,8 +290,10 @@ def earlier_runs(array: DataFrame) -> DataFrame:
 def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The maximal repeated runs of the strings ``lines`` (d, n, line, h1, h2, words, upto) in later places, united: d, spans of the text's lines (first and last)."""
     spark = lines.sparkSession
-    names = lines.groupBy("h1", "h2").agg(F.min(F.struct("d", "n")).alias("_a"), F.max(F.struct("d", "n")).alias("_z"), F.count("*").alias("_c")).where("_a < _z").select("h1", "h2")
-    own = save(lines.join(names, ["h1", "h2"]))
+    names = lines.groupBy("h1", "h2").agg(F.min(F.struct("d", "n")).alias("_a"), F.max(F.struct("d", "n")).alias("_z")).where("_a < _z")
+    # A very common line's rows meet their name in SHARES places.
+    names = names.select("h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("_s"))
+    own = save(lines.withColumn("_s", F.pmod(F.xxhash64("d", "n"), F.lit(SHARES)).cast("int")).join(names, ["h1", "h2", "_s"]).drop("_s"))
     if own.isEmpty():
         return spark.createDataFrame([], "d long, spans array<struct<a:int,z:int>>")
     array = common_prefixes(*suffix_array(own))

@@ -1,19 +1,21 @@
 """Shards along a Hilbert curve through the documents' metadata.
 
 Each metadata dimension is quantised to ``2**BITS`` levels of about equal numbers of rows
-(thresholds are quantiles over all rows; strings are ordered by their first six
-bytes), the levels are the coordinates of a cell, and rows are sorted by the cell's place on
+(thresholds are quantiles over all rows: of numbers by a sketch, of strings, compared whole, by the counts of
+their values), the levels are the coordinates of a cell, and rows are sorted by the cell's place on
 the Hilbert curve. Cutting the order into runs of equal row counts gives shards (law
 ``rows``: counts are at most one apart) in which every dimension spans a short range, so a
 filter on any of them skips most files.
 
 Null metadata takes the lowest level; equal rows are told apart by doc_id, digest and size,
-and rows equal in these too get neighbouring places in any order; an empty table gives no rows.
+and rows equal in these too get neighbouring places in any order; of a very long text only size and digest go on; columns that are no
+dimension are not read, whatever their names; an empty table gives no rows.
 Cells may hold any share of the rows, as the sort goes on inside a cell.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from lodestone.llm.runtime import map_arrow, ranked
+from lodestone.llm.runtime import map_arrow, ranked, save
 
 BITS = 8
 DIMENSIONS = ("source", "lang", "n_chars")
@@ -56,17 +59,48 @@ def hilbert_index(levels: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
+def is_ordered(docs: DataFrame, name: str) -> bool:
+    """Whether a column is handled as numbers; all others are strings."""
+    return isinstance(docs.schema[name].dataType, (T.NumericType, T.DateType, T.TimestampType))
+
+
 def ordinal(docs: DataFrame, name: str) -> Column:
-    """A number in the order of the column's values; null below all."""
-    kind = docs.schema[name].dataType
-    if isinstance(kind, T.NumericType):
-        value = F.col(name).cast("double")
-    elif isinstance(kind, (T.DateType, T.TimestampType)):
-        value = F.col(name).cast("timestamp").cast("double")
-    else:
-        head = F.substring(F.encode(F.col(name).cast("string"), "UTF-8"), 1, 6)
-        value = F.conv(F.rpad(F.hex(head), 12, "0"), 16, 10).cast("double")
-    return F.coalesce(value, F.lit(-1.0))
+    """A column's number, or its string; null below all."""
+    if isinstance(docs.schema[name].dataType, T.NumericType):
+        return F.coalesce(F.col(name).cast("double"), F.lit(float("-inf")))
+    if is_ordered(docs, name):
+        return F.coalesce(F.col(name).cast("timestamp").cast("double"), F.lit(float("-inf")))
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def string_cuts(values: DataFrame, levels: int) -> list[str]:
+    """Strings (fewer than ``levels``) that part the rows of ``values`` (v) into runs of about equal numbers, as far as equal strings allow."""
+    counts = values.groupBy("v").agg(F.count("*").alias("n"))
+    dealt = save(counts.repartitionByRange("v").withColumn("_range", F.spark_partition_id()))
+    sizes = {r["_range"]: r["n"] for r in dealt.groupBy("_range").agg(F.sum("n").alias("n")).collect()}
+    total = sum(sizes.values())
+    if not total:
+        return []
+    offsets, at = [], 0
+    for k in sorted(sizes):
+        offsets.append((k, at))
+        at += sizes[k]
+    before = values.sparkSession.createDataFrame(offsets, "_range int, _before long")
+    running = F.sum("n").over(Window.partitionBy("_range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
+    placed = dealt.join(F.broadcast(before), "_range").select("v", (F.col("_before") + F.coalesce(running, F.lit(0))).alias("at"), "n")
+    step = lambda c: F.floor(c * F.lit(levels) / F.lit(total))
+    # A value begins a level if a border lies in the rows before it; more than levels - 1 there can't be.
+    found = placed.withColumn("level", step(F.col("at"))).where("level > 0").groupBy("level").agg(F.min("v").alias("v"))
+    return sorted({r["v"] for r in found.collect()})
+
+
+def _levels(cuts: np.ndarray, column: pa.Array) -> np.ndarray:
+    """The level of each value: how many cuts are not above it."""
+    if cuts.dtype != object:
+        return np.searchsorted(cuts, column.to_numpy(zero_copy_only=False), "right")
+    coded = column.dictionary_encode()
+    known, marks = coded.dictionary.to_pylist(), cuts.tolist()
+    return np.array([bisect_right(marks, v) for v in known], np.int64)[coded.indices.to_numpy()] if known else np.zeros(0, np.int64)
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 16, dimensions: Sequence[str] = DIMENSIONS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,14 +108,16 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, dimensions: Sequence[str]
     names = [f"_d{i}" for i in range(len(dimensions))]
     coded = docs.select(*[ordinal(docs, d).alias(n) for d, n in zip(dimensions, names)])
     steps = [k / (1 << bits) for k in range(1, 1 << bits)]
-    cuts = [np.unique(c) for c in coded.approxQuantile(names, steps, 1 / (1 << (bits + 2)))]
+    plain = [n for d, n in zip(dimensions, names) if is_ordered(docs, d)]
+    quantiles = dict(zip(plain, coded.approxQuantile(plain, steps, 1 / (1 << (bits + 2))))) if plain else {}
+    cuts = [np.unique(quantiles[n]) if n in quantiles else np.array(string_cuts(coded.select(F.col(n).alias("v")), 1 << bits), object) for n in names]
 
     raw = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
     keys = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), *[ordinal(docs, d).alias(n) for d, n in zip(dimensions, names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            levels = np.stack([np.searchsorted(c, batch.column(3 + i).to_numpy(), "right") for i, c in enumerate(cuts)], 1)
+            levels = np.stack([_levels(c, batch.column(3 + i)) for i, c in enumerate(cuts)], 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hilbert_index(levels, bits))], names=["doc_id", "size", "text_crc32", "hilbert"])
 
     cells = map_arrow(keys, run, "doc_id long, size long, text_crc32 long, hilbert long")
