@@ -13,7 +13,8 @@ if 100 * intersection >= ``percent`` * union.
    pairs that are far below the threshold (at 0.85, by more than seven standard deviations);
    the others are verified on the full sets made from the whole texts. A hub's sketch and text go to as many
    tasks as its buckets have thousands of members (``HUB_SHARE`` members a share).
-4. Buckets whose members are then not all in one component are compared in full, but
+4. Buckets whose members are then not all in one component choose other hubs, by a hash, for the members of other
+   components (``TURNS`` times). Those that even then hold several are compared in full, but
    only between components, inside tasks of bounded size (a large bucket is cut into
    blocks, a task for each pair of blocks), and only pairs near the threshold leave
    a task. These are verified too. Nothing is capped, and no group emits all its pairs.
@@ -42,6 +43,8 @@ BANDS, ROWS = 32, 6
 BLOCK = 1024
 #: Members of a bucket that share one copy of the hub.
 HUB_SHARE = 512
+#: Further hubs of buckets that hold several components.
+TURNS = 3
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
@@ -278,18 +281,31 @@ def _grouped(docs: DataFrame, percent: int, words: int, id_col: str, text_col: s
     tried = save(near_pairs(stars, sketches, percent).join(stars.select("a", "b", "size"), ["a", "b"]))
     links = save(verified(tried, _texts(plain, nodes, tried), percent, words))
     label = components(links)
-    # Buckets that still hold several components.
-    labelled = members.join(label, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-    open_ = save(labelled.join(mixed, "bucket").join(sketches, "node").select("bucket", "node", "n_shingles", "sketch", "component", "size"))
-    more = save(cross_pairs(open_, percent).join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        # The end that stands in more pairs is the hub, and how often it does decides into how many shares its pairs fall.
-        ends = more.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-        more = more.join(ends.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(ends.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        more = save(more.select("a", "b", F.when(F.col("na") >= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("hub"), F.greatest("na", "nb").alias("size")))
-        found = save(verified(more, _texts(plain, nodes, more), percent, words))
-        label = components(links.union(found))
+    for turn in range(TURNS + 1):
+        # Buckets that still hold several components.
+        labelled = members.join(label, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
+        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("any")).where("x < y").select("bucket", F.col("any.node").alias("hub"), F.col("any.component").alias("hub_component"))
+        open_ = save(labelled.join(mixed, "bucket"))
+        if open_.isEmpty():
+            break
+        if turn < TURNS:
+            # Another hub, met by the members of other components: linear again.
+            fresh = open_.where("component <> hub_component").groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.max("size").alias("size"), F.min("hub").alias("hub"))
+            stars = save(fresh.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+            near = save(near_pairs(stars, sketches, percent).drop("hub").join(stars, ["a", "b"]).select("a", "b", "hub", "size"))
+        else:
+            more = save(cross_pairs(open_.join(sketches, "node").select("bucket", "node", "n_shingles", "sketch", "component", "size"), percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+            if more.isEmpty():
+                break
+            # The end that stands in more pairs is the hub, and how often it does decides into how many shares its pairs fall.
+            ends = more.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+            both = more.join(ends.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(ends.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+            near = save(both.select("a", "b", F.when(F.col("na") >= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("hub"), F.greatest("na", "nb").alias("size")))
+        found = save(verified(near, _texts(plain, nodes, near), percent, words))
+        tried = tried.select("a", "b").union(near.select("a", "b"))
+        if not found.isEmpty():
+            links = links.union(found)
+            label = components(links)
     linked = classes.join(label, "node", "left").select(*KEY, F.coalesce("component", "node").alias("component"), F.col("first.doc_id").alias("doc_id"))
     least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = save(linked.join(least, "component").select(*KEY, "component_id"))
