@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,3 +64,31 @@ def omission_rank(path: Column) -> Column:
 
 def sql_values(table: dict[str, str]) -> str:
     return "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in sorted(table.items())) + ")"
+
+
+def language_of(path: str, overrides: dict[str, str] | None = None) -> str | None:
+    """:func:`language` of one path, for the driver and the parsers."""
+    own = overrides or {}
+    name = path.rsplit("/", 1)[-1]
+    dot = name.rfind(".")
+    ext = name[dot + 1 :].lower() if dot > 0 else ""
+    return own.get(name) or {k[1:].lower(): v for k, v in own.items() if k.startswith(".")}.get(ext) or LANGUAGE.get(ext)
+
+
+def fence_of(path: str) -> str:
+    """:func:`fence` of one path."""
+    name = path.rsplit("/", 1)[-1].lower()
+    dot = name.rfind(".")
+    env = "dotenv" if name == ".env" or name.startswith(".env.") else None
+    return LANGUAGE_FENCE.get(language_of(path) or "") or NAME_FENCE.get(name) or env or EXTENSION_FENCE.get(name[dot + 1 :] if dot > 0 else "", "text")
+
+
+#: A comment's opening marks; what follows says that a tool wrote the file, or a marker that tools write stands in it.
+COMMENT_OPENS = r"(?:/{2,}|#+|/?\*+|--|<!--|;+|['\"]{3})"
+GENERATED_SAYS = rf"(?im)^[ \t]*{COMMENT_OPENS}[ \t!]*(?:th(?:is|e) (?:code|file|module) (?:has been|is|was) )?(?:auto(?:matically |-))?(?:code generated|auto-?generated|generated)\b"
+GENERATED_MARKS = rf"(?m)^[ \t]*{COMMENT_OPENS}[ \t!]*.*?(?:\bDO NOT EDIT\b|@generated\b)"
+
+
+def is_generated_head(text: str) -> bool:
+    """Whether a comment in the first 600 characters says that a tool wrote the file."""
+    return re.search(GENERATED_SAYS, text[:600]) is not None or re.search(GENERATED_MARKS, text[:600]) is not None

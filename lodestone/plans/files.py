@@ -163,7 +163,7 @@ _HEADS = ["// Code generated by a tool. DO NOT EDIT.", "# @generated", "/* This
 _PLANTED = "CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN concat({q(h)}, chr(10), text)" for k, h in enumerate(_HEADS)) + " ELSE text END"
 
 
-@query("detect_generated", f"SELECT doc_id, regexp_matches(substr({_PLANTED}, 1, 600), {q(transform._LEAD)}) OR regexp_matches(substr({_PLANTED}, 1, 600), {q(transform._MARK)}) AS generated FROM documents")
+@query("detect_generated", f"SELECT doc_id, regexp_matches(substr({_PLANTED}, 1, 600), {q(paths.GENERATED_SAYS)}) OR regexp_matches(substr({_PLANTED}, 1, 600), {q(paths.GENERATED_MARKS)}) AS generated FROM documents")
 def detect_generated(spark, sf_dir):
     planted = F.expr(_PLANTED.replace("''", "\\'"))
     return table(spark, sf_dir, "documents").select("doc_id", transform.is_generated(planted).alias("generated"))
