@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +13,15 @@ from lodestone.functions import paths, words
 K1, B, PATH_BONUS = 1.2, 0.75, 1.5
 
 
-def query_terms(spark: SparkSession, text: str) -> list[str]:
-    """Distinct stems of a query, in order."""
-    row = spark.range(1).select(words.words(F.lit(text)).alias("w")).first()
-    return list(dict.fromkeys(row["w"]))
+def query_terms(spark: SparkSession, text: str) -> dict[str, str]:
+    """Distinct stems of a query, in order, with the words that the user wrote (in lower case)."""
+    raw = re.findall(r"[^\W_]+", text)
+    row = spark.range(1).select(words.words(F.lit(text)), *[words.words(F.lit(r)) for r in raw]).first()
+    spelled: dict[str, str] = {}
+    for word, stems in zip(raw, row[1:]):
+        for s in stems:
+            spelled.setdefault(s, word.lower())
+    return {s: spelled.get(s, s) for s in row[0]}
 
 
 def path_weight(path):
@@ -21,28 +29,36 @@ def path_weight(path):
     return F.when(paths.language(path).isNull(), 0.4).when(F.lower(path).rlike(paths.TEST_PATH), 0.7).otherwise(1.0)
 
 
-def search(files: DataFrame, query: str) -> DataFrame:
-    """Files (path, text, weight) with a matching word: path, score, matched. Corpus statistics are one row."""
-    terms = query_terms(files.sparkSession, query)
-    if not terms:
-        return files.sparkSession.createDataFrame([], "path string, score double, matched array<string>")
+def term_counts(files: DataFrame, terms: list[str]) -> DataFrame:
+    """Files (path, text, weight) with, for each term, how often it is in the text (``tf``) and whether it is in the path (``there``), and their words (``len``).
+
+    Each text is split once; what is kept is a few numbers a file, so statistics and scores are both taken from the saved rows.
+    """
     listed = F.array(*[F.lit(t) for t in terms])
     split = files.select("path", "weight", words.words(F.col("text")).alias("body"), words.words(F.col("path")).alias("own"))
     tf = F.transform(listed, lambda t: F.size(F.filter("body", lambda w: words.loosely(t, w))))
     there = F.transform(listed, lambda t: F.exists("own", lambda w: words.loosely(t, w)))
-    counted = split.select("path", "weight", tf.alias("tf"), there.alias("there"), (F.size("body") + 1).alias("len"))
-    hits = [(F.get("tf", F.lit(k)) > 0) | F.get("there", F.lit(k)) for k in range(len(terms))]
-    stats = counted.agg(F.avg("len").alias("avg"), F.count("*").alias("n"), *[F.sum(h.cast("int")).alias(f"df{k}") for k, h in enumerate(hits)])
-    both = counted.crossJoin(F.broadcast(stats))  # one row
+    return split.select("path", "weight", tf.alias("tf"), there.alias("there"), (F.size("body") + 1).alias("len")).persist()
+
+
+def search(files: DataFrame, query: str) -> DataFrame:
+    """Files (path, text, weight) with a matching word: path, score, and the matched words of the query as the user wrote them. Corpus statistics are one row."""
+    spelled = query_terms(files.sparkSession, query)
+    terms = list(spelled)
+    if not terms:
+        return files.sparkSession.createDataFrame([], "path string, score double, matched array<string>")
+    counted = term_counts(files, terms)
+    hit = lambda k: (F.get("tf", F.lit(k)) > 0) | F.get("there", F.lit(k))
+    stats = counted.agg(F.avg("len").alias("avg"), F.count("*").alias("n"), *[F.sum(hit(k).cast("int")).alias(f"df{k}") for k in range(len(terms))]).first()
     score, matched = F.lit(0.0), F.lit(0)
-    for k, h in enumerate(hits):
-        f, df = F.get("tf", F.lit(k)).cast("double"), F.col(f"df{k}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        part = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avg"))) + F.when(F.get("there", F.lit(k)), idf * PATH_BONUS).otherwise(0.0)
-        score = score + F.when(h, part).otherwise(0.0)
-        matched = matched + h.cast("int")
-    names = F.filter(F.array(*[F.when(h, F.lit(t)) for h, t in zip(hits, terms)]), lambda x: x.isNotNull())
-    return both.withColumn("m", matched).where("m > 0").select("path", (score * (1 + (F.col("m") - 1) / len(terms)) * F.col("weight")).alias("score"), names.alias("matched"))
+    for k in range(len(terms)):
+        f, df = F.get("tf", F.lit(k)).cast("double"), stats[f"df{k}"] or 0
+        idf = F.lit(math.log(1 + (stats["n"] - df + 0.5) / (df + 0.5)))
+        part = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.lit(stats["avg"] or 1.0))) + F.when(F.get("there", F.lit(k)), idf * PATH_BONUS).otherwise(0.0)
+        score = score + F.when(hit(k), part).otherwise(0.0)
+        matched = matched + hit(k).cast("int")
+    names = F.filter(F.array(*[F.when(hit(k), F.lit(spelled[t])) for k, t in enumerate(terms)]), lambda x: x.isNotNull())
+    return counted.withColumn("m", matched).where("m > 0").select("path", (score * (1 + (F.col("m") - 1) / len(terms)) * F.col("weight")).alias("score"), names.alias("matched"))
 
 
 def top_hits(hits: DataFrame, limit: int = 5, cutoff: float = 0.25) -> DataFrame:

@@ -75,10 +75,13 @@ def deps_unique_suffix(spark, sf_dir):
     return graph.unique_suffix(specs(spark, sf_dir).select("src", F.col("name").alias("suffix")), corpus(spark, sf_dir)).select("src", "suffix", "dst")
 
 
-@query("deps_python", f"WITH {SPECS} SELECT DISTINCT src, dotted AS module, path AS dst FROM specs JOIN corpus ON path = replace(dotted, '.', '/') || '.py'")
+@query("deps_python", f"WITH {SPECS}, a AS (SELECT src, dotted AS module, path AS dst, row_number() OVER (PARTITION BY src ORDER BY path) AS k FROM specs JOIN corpus ON path = replace(dotted, '.', '/') || '.py'), w AS (SELECT DISTINCT src, regexp_replace(dotted, '\\.[^.]*$', '') AS pkg, path AS dst FROM specs JOIN corpus ON path = replace(dotted, '.', '/') || '.py') SELECT DISTINCT src, module, dst FROM (SELECT src, module, dst FROM a UNION ALL SELECT src, pkg, dst FROM w) z")
 def deps_python(spark, sf_dir):
-    wanted = specs(spark, sf_dir).select("src", F.col("dotted").alias("module"), F.array(F.lit("run"), F.lit("stop")).alias("names"))
-    return graph.python_modules(wanted, corpus(spark, sf_dir))
+    """Each file's import once as a module, and once as a name of its package."""
+    s = specs(spark, sf_dir)
+    whole = s.select("src", F.col("dotted").alias("module"), F.array(F.lit("run"), F.lit("stop")).alias("names"))
+    named = s.select("src", F.regexp_replace("dotted", r"\.[^.]*$", "").alias("module"), F.array(F.regexp_extract("dotted", r"([^.]*)$", 1), F.lit("other")).alias("names"))
+    return graph.python_modules(whole.union(named), corpus(spark, sf_dir))
 
 
 _DIR = "regexp_replace({p}, '/?[^/]*$', '')"

@@ -186,7 +186,11 @@ for _n, _r in transform.SECRET_RULES:
     _REDACTED = f"regexp_replace({_REDACTED}, {q(_r)}, '\\1[REDACTED:{_n}]{'@' if _n == 'url-password' else ''}', 'g')"
 
 
-@query("redact_secrets", f"WITH r AS (SELECT doc_id, {_REDACTED} AS t FROM documents) SELECT doc_id, sha1(t) AS digest, CAST(len(regexp_extract_all(t, '\\[REDACTED:[a-z-]+\\]')) AS INT) AS n FROM r")
+_ENTROPY = "log2(length(v)) - list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: (length(v) - length(replace(v, c, ''))) * log2(length(v) - length(replace(v, c, ''))))) / length(v)"
+_RANDOM = f"list_filter(list_distinct(regexp_extract_all(m, {q(transform.ASSIGNED)}, 1)), lambda v: NOT regexp_matches(v, {q(transform._PLACEHOLDER)}) AND {_ENTROPY} >= {transform.MIN_ENTROPY})"
+
+
+@query("redact_secrets", f"WITH k AS (SELECT doc_id, {_REDACTED} AS m FROM documents), r AS (SELECT doc_id, list_reduce(list_prepend(m, {_RANDOM}), lambda a, v: replace(a, v, '[REDACTED:assigned-secret]')) AS t FROM k) SELECT doc_id, sha1(t) AS digest, CAST(len(regexp_extract_all(t, '\\[REDACTED:[a-z-]+\\]')) AS INT) AS n FROM r")
 def redact_secrets(spark, sf_dir):
     df = table(spark, sf_dir, "documents").select("doc_id", transform.redacted(F.col("text")).alias("t"))
     return df.select("doc_id", F.sha1(F.encode("t", "UTF-8")).alias("digest"), transform.redactions(F.col("t")).alias("n"))
