@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.session import save
+
 FILE_OVERHEAD = 12
 PHASES = ("skeleton", "docs", "bare", "outline", "omitted")
 
@@ -20,7 +22,8 @@ def prefix_sums(rows: DataFrame, order: list[Column], value: str, within: str |
     Rows are dealt by ranges of the order, so no group is one task's; one row a range goes to the driver. ``order`` should tell all rows apart.
     """
     spark = rows.sparkSession
-    dealt = rows.withColumn("_g", F.col(within).cast("string") if within else F.lit("")).repartitionByRange("_g", *order).withColumn("_range", F.spark_partition_id()).persist()
+    dealt = rows.withColumn("_g", F.col(within).cast("string") if within else F.lit("")).repartitionByRange("_g", *order).withColumn("_range", F.spark_partition_id())
+    dealt = save(dealt)
     sums = dealt.groupBy("_range", "_g").agg(F.sum(value).cast("long").alias("s"))
     ends = sums.groupBy("_range").agg(F.min(F.struct("_g", "s")).alias("first"), F.max(F.struct("_g", "s")).alias("last")).orderBy("_range").collect()
     carries, group, held = [], None, 0
@@ -93,12 +96,12 @@ def fixed_parts(parts: DataFrame, limit: int, first: int, later: int, passes: in
     """Parts (ord, part, tokens as measured) with the last files of what is too large moved forward; a part keeps one file at least."""
     for _ in range(passes):
         base = F.when(F.col("part") == 1, first).otherwise(later)
-        run = prefix_sums(parts, [F.col("ord")], "tokens", "part").withColumn("over", (F.col("before") > 0) & (base + F.col("before") + F.col("tokens") > limit)).persist()
+        run = prefix_sums(parts, [F.col("ord")], "tokens", "part").withColumn("over", (F.col("before") > 0) & (base + F.col("before") + F.col("tokens") > limit))
+        run = save(run)
         if run.where("over").isEmpty():
             return run.select("ord", "part", "tokens")
         # A part that takes files from the one before is new only if it is the last.
-        parts = run.select("ord", (F.col("part") + F.col("over").cast("int")).alias("part"), "tokens").persist()
-        run.unpersist()
+        parts = run.select("ord", (F.col("part") + F.col("over").cast("int")).alias("part"), "tokens")
     return parts
 
 
@@ -158,10 +161,9 @@ def fit_to_budget(variants: DataFrame, limit: int, measure: Callable[[DataFrame]
     the real tokens of each level. ``measure`` (state -> tokens) is the size of the whole document. Only counts are moved: a batch
     is one prefix sum over ranges of the savings.
     """
-    spark = variants.sparkSession
-    variants = variants.persist()
+    variants = save(variants)
     columns = ("path", "rank", "tier", "level", "name", "tokens")
-    state = variants.where("level = 0").select(*columns).persist()
+    state = variants.where("level = 0").select(*columns)
     size = initial = measure(state)
     for tier in (0, 1):
         for phase in phases:
@@ -171,7 +173,8 @@ def fit_to_budget(variants: DataFrame, limit: int, measure: Callable[[DataFrame]
             # Savings are estimates: measure again after each batch, until it fits or nothing moves.
             while size > limit:
                 moves = state.where(F.col("tier") == tier).join(to, "path").where("to > level").withColumn("saving", F.col("tokens") - F.col("left") + bonus).where("saving > 0")
-                chosen = prefix_until(moves, order, "saving", size - limit).select("path", "to", "left").persist()
+                chosen = prefix_until(moves, order, "saving", size - limit).select("path", "to", "left")
+                chosen = save(chosen)
                 if chosen.isEmpty():
                     break
                 state = _moved(state, chosen.withColumn("as", F.lit(phase)))
@@ -187,25 +190,21 @@ def fit_to_budget(variants: DataFrame, limit: int, measure: Callable[[DataFrame]
             return (room - cost, (path, to_, left, name)) if cost <= room else (room, None)
 
         room = limit - size
-        taken = fold(back, "g", ["t", "r", "cost", "path", "to", "left", "as"], lambda: room, step, "g int, path string, to int, left long, as string").drop("g").persist()
+        taken = fold(back, "g", ["t", "r", "cost", "path", "to", "left", "as"], lambda: room, step, "g int, path string, to int, left long, as string").drop("g")
+        taken = save(taken)
         if not taken.isEmpty():
-            restored = _moved(state, taken, keep=True)
+            restored = _moved(state, taken)
             exact = measure(restored)
             if exact <= limit:
                 state, size = restored, exact
     start = variants.where("level = 0").select("path", F.col("name").alias("was"))
     changes = start.join(state.select("path", F.col("name").alias("now")), "path").where("was <> now")
-    del spark
     return Fit(state.select("path", "level", "name", "tokens"), changes, size, initial, limit)
 
 
-def _moved(state: DataFrame, moves: DataFrame, keep: bool = False) -> DataFrame:
-    """``state`` after moves (path, to, left, as); the table before is let go."""
-    out = state.join(moves, "path", "left").select("path", "rank", "tier", F.coalesce("to", "level").alias("level"), F.coalesce("as", "name").alias("name"), F.coalesce("left", "tokens").alias("tokens")).persist()
-    out.count()
-    if not keep:
-        state.unpersist()
-    return out
+def _moved(state: DataFrame, moves: DataFrame) -> DataFrame:
+    """``state`` after moves (path, to, left, as)."""
+    return save(state.join(moves, "path", "left").select("path", "rank", "tier", F.coalesce("to", "level").alias("level"), F.coalesce("as", "name").alias("name"), F.coalesce("left", "tokens").alias("tokens")))
 
 
 def collapsed(history: DataFrame, key: str, order: str, value: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,8 +44,8 @@ def joined(blocks: DataFrame, group: str, ordinal: str, block: str) -> DataFrame
     return blocks.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ordinal, block))), lambda x: x[block]), "\n").alias("document"))
 
 
-def tree(files: DataFrame, group: str) -> DataFrame:
-    """Lines of each group's directory tree (group, path): key (in order), line. Sibling windows only; no recursion."""
+def tree(files: DataFrame, group: str, note: str | None = None) -> DataFrame:
+    """Lines of each group's directory tree (group, path, and maybe a note): key (in order), line. Sibling windows only; no recursion."""
     parts = F.split("path", "/")
     up = files.select(group, F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth"), parts.alias("p"))
     nodes = up.select(group, F.array_join(F.slice("p", 1, F.col("depth")), "/").alias("node"), F.array_join(F.slice("p", 1, F.col("depth") - 1), "/").alias("parent"), "depth", F.expr("p[depth - 1]").alias("name"), (F.col("depth") == F.size("p")).alias("is_file")).groupBy(group, "node", "parent", "depth", "name").agg(F.bool_or("is_file").alias("is_file"))
@@ -58,6 +56,10 @@ def tree(files: DataFrame, group: str) -> DataFrame:
     led = above.join(flags, (F.col(group) == F.col("_g")) & (F.col("x.a") == F.col("_n")), "left")
     lines = led.groupBy(group, "node", "name", "is_file", "last").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("x.k").alias("k"), "bar"))), lambda b: F.coalesce(b["bar"], F.lit(""))), "").alias("lead"))
     text = F.concat("lead", F.when(F.col("last"), "└── ").otherwise("├── "), "name", F.when(F.col("is_file"), "").otherwise("/"))
+    if note:
+        said = files.select(F.col(group).alias("_g"), F.col("path").alias("_p"), F.col(note).alias("_note")).where("_note IS NOT NULL")
+        lines = lines.join(said, (F.col(group) == F.col("_g")) & (F.col("node") == F.col("_p")) & F.col("is_file"), "left")
+        text = F.concat(text, F.coalesce(F.concat(F.lit(" "), "_note"), F.lit("")))
     key = F.when(F.col("is_file"), scan_key(F.col("node"))).otherwise(F.transform(F.split("node", "/"), lambda s: F.concat(F.lit("1"), s)))
     return lines.select(group, F.array_join(key, "/").alias("key"), text.alias("line"))
 
@@ -75,7 +77,3 @@ def legend(flags: dict[str, bool]) -> str:
         if flags.get(k):
             out.append(said)
     return " ".join(out)
-
-
-def json_document(project: str, mode: str, files: list[dict]) -> str:
-    return json.dumps({"project": project, "mode": mode, "files": [{k: v for k, v in f.items() if v not in (None, False)} for f in files]}, indent=2, ensure_ascii=False)

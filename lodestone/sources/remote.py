@@ -40,6 +40,30 @@ def changed_files(cwd: str, ref: str = "HEAD") -> list[str]:
     return sorted({n for n in names.split("\0") if n and (Path(cwd) / n).is_file()})
 
 
+def resolve_ref(ref: str, cwd: str) -> str:
+    """``@base`` is the branch that work starts from; anything else is itself, if git knows it."""
+    name = default_base(cwd) if ref == "@base" else ref
+    try:
+        git(["rev-parse", "--verify", "--quiet", f"{name}^{{commit}}"], cwd)
+    except subprocess.CalledProcessError:
+        raise ValueError(f"unknown reference: {ref}") from None
+    return name
+
+
+def parse_spec(spec: str) -> tuple[str, str, str | None]:
+    """:func:`remote_parts` of one spec on the driver: url, name, branch."""
+    spec = spec.strip()
+    rest, mark, branch = spec.rpartition("#") if "#" in spec[1:] else (spec, "", "")
+    if m := re.match(r"(https?://github\.com/[^/]+/[^/]+)/tree/(.+)$", rest):
+        rest, branch = m[1], branch or m[2]
+    if re.fullmatch(r"[\w.-]+/[\w.-]+", rest):
+        rest = f"https://github.com/{rest}.git"
+    elif re.match(r"(?:github|gitlab)\.com/[\w.-]+/[\w.-]+", rest):
+        rest = f"https://{rest}"
+    name = re.sub(r"\.git$", "", rest.rstrip("/")).rsplit("/", 1)[-1].rsplit(":", 1)[-1]
+    return rest, name or "repo", branch or None
+
+
 def default_base(cwd: str) -> str:
     """The branch that work starts from."""
     for name in ("origin/HEAD", "origin/main", "origin/master", "main", "master"):
