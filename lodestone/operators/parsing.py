@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.functions import paths
 from lodestone.operators import lexing, parsers
@@ -307,3 +309,9 @@ def transformed(files: DataFrame, comments: str = "all", max_lines: int = MAX_LI
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in TRANSFORMED.split(", ")])
 
     return files.select("path", "language", "text", "level").mapInPandas(run, TRANSFORMED)
+
+
+def unrepeated(lines: DataFrame, group: str, order: str, text: str) -> DataFrame:
+    """Lines without those that say what the one before says."""
+    before = F.lag(text).over(Window.partitionBy(group).orderBy(order))
+    return lines.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") != F.col(text))).drop("_before")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone import api, cache, config, documents
 from lodestone.corpus import CORPUS, LINKS, SPECS, corpus, links, specs, table
 from lodestone.functions import paths, words
-from lodestone.operators import fitting, graph, render, search, stats
+from lodestone.operators import filters, fitting, graph, parsing, render, search, stats, transform
 from lodestone.plans.files import _RANK, STRATEGY, strategies
 from lodestone.plans.registry import ORACLES, query
+from lodestone.session import save
+from lodestone.sources import remote
 
 QUERY = "thing tests rendering the licensed éan parse_invoices"
 
@@ -130,15 +133,12 @@ def related_khop(spark, sf_dir):
 @query("focus_flags", f"WITH {SPECS}, foc AS (SELECT path FROM corpus WHERE starts_with(path, 'src1/')), mat AS (SELECT path FROM corpus WHERE contains(original, 'token =') AND path NOT IN (SELECT path FROM foc)), seed AS (SELECT path FROM foc UNION SELECT path FROM mat), rel AS (SELECT c.path FROM specs JOIN corpus c ON regexp_extract(c.path, '([^/]+)$', 1) = name WHERE src IN (SELECT path FROM seed) AND c.path NOT IN (SELECT path FROM seed) UNION SELECT src FROM specs JOIN corpus c ON regexp_extract(c.path, '([^/]+)$', 1) = name WHERE c.path IN (SELECT path FROM seed) AND src NOT IN (SELECT path FROM seed)) SELECT path, path IN (SELECT path FROM seed) AS focused, path IN (SELECT path FROM mat) AS matched, path IN (SELECT path FROM rel) AS related FROM corpus")
 def focus_flags(spark, sf_dir):
     files = corpus(spark, sf_dir).select("path", "original")
-    focus = files.where("startswith(path, 'src1/')").select("path")
-    matched = files.where("contains(original, 'token =')").select("path").join(focus, "path", "left_anti")
-    seeds = focus.union(matched).distinct()
+    hits = files.where("contains(original, 'token =')").select("path")
+    seeds = api.flagged(files, filters.focused(F.col("path"), ["src1"]), hits)
     edges = graph.unique_suffix(specs(spark, sf_dir).select("src", F.col("name").alias("suffix")), files).select("src", "dst")
-    near = graph.related(edges, seeds.select(F.col("path").alias("node")), 1).select(F.col("node").alias("path"))
-    out = files.select("path")
-    for name, side in (("focused", seeds), ("matched", matched), ("related", near)):
-        out = out.join(side.distinct().withColumn(name, F.lit(True)), "path", "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    return out
+    near = graph.related(edges, seeds.where("focused").select(F.col("path").alias("node")), 1)
+    return api.flagged(files, filters.focused(F.col("path"), ["src1"]), hits, near).select("path", (F.col("focused") & ~F.col("related")).alias("focused"), "matched", "related")
+
 
 
 # Orders, statistics, folders
@@ -146,29 +146,39 @@ def focus_flags(spark, sf_dir):
 
 @query("order_size", f"WITH {CORPUS} SELECT path, length(original) AS n, row_number() OVER (PARTITION BY source ORDER BY length(original), path) AS place FROM corpus")
 def order_size(spark, sf_dir):
-    n = F.length("original")
-    return corpus(spark, sf_dir).select("path", n.cast("long").alias("n"), F.row_number().over(Window.partitionBy("source").orderBy(n, "path")).cast("long").alias("place"))
+    placed = api.ordered(corpus(spark, sf_dir).withColumn("content", F.col("original")), "size")
+    return placed.select("path", F.col("sort_n").cast("long").alias("n"), F.row_number().over(Window.partitionBy("source").orderBy("sort_n", "sort_key")).cast("long").alias("place"))
+
 
 
 @query("last_changed", "WITH m AS (SELECT user_id, epoch(date_trunc('second', max(ts))) AS t FROM events GROUP BY user_id) SELECT user_id, CASE WHEN user_id % 17 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE CAST(t AS DOUBLE) END AS changed FROM m")
 def last_changed(spark, sf_dir):
-    seen = table(spark, sf_dir, "events").groupBy("user_id").agg(F.unix_timestamp(F.date_trunc("second", F.max("ts"))).cast("double").alias("changed"))
-    dirty = seen.where("user_id % 17 = 0").select("user_id", F.lit(float("inf")).alias("changed"))
-    return seen.union(dirty).groupBy("user_id").agg(F.max("changed").alias("changed"))
+    seen = table(spark, sf_dir, "events").select("user_id", F.unix_timestamp(F.date_trunc("second", "ts")).cast("double").alias("changed"))
+    return remote.latest(seen, seen.where("user_id % 17 = 0").select("user_id"), "user_id")
+
 
 
 @query("order_stable", f"WITH {CORPUS}, m AS (SELECT user_id, max(ts) AS t FROM events GROUP BY user_id) SELECT path, coalesce(CAST(epoch(date_trunc('second', t)) AS BIGINT), 0) AS changed, row_number() OVER (PARTITION BY source ORDER BY coalesce(CAST(epoch(date_trunc('second', t)) AS BIGINT), 0), path) AS place FROM corpus LEFT JOIN m ON user_id = doc_id")
 def order_stable(spark, sf_dir):
-    seen = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.unix_timestamp(F.date_trunc("second", F.max("ts"))).alias("t"))
-    changed = F.coalesce("t", F.lit(0)).cast("long")
-    return corpus(spark, sf_dir).join(seen, "doc_id", "left").select("path", changed.alias("changed"), F.row_number().over(Window.partitionBy("source").orderBy(changed, "path")).cast("long").alias("place"))
+    seen = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.unix_timestamp(F.date_trunc("second", "ts")).cast("double").alias("changed"))
+    times = remote.latest(seen, None, "doc_id")
+    files = corpus(spark, sf_dir)
+    placed = api.ordered(files, "stable", files.select("doc_id", "path").join(times, "doc_id").select("path", "changed"))
+    return placed.select("path", F.col("sort_n").cast("long").alias("changed"), F.row_number().over(Window.partitionBy("source").orderBy("sort_n", "sort_key")).cast("long").alias("place"))
+
 
 
 @query("config_precedence", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 'cli' END, CASE WHEN o_orderkey % 4 = 0 THEN 'config' END, 'preset') AS mode, list_concat(['a'], CASE WHEN o_orderkey % 4 = 0 THEN ['b'] ELSE [] END)[-1] AS last_ignore FROM orders")
 def config_precedence(spark, sf_dir):
-    cli, config = F.when(F.expr("o_orderkey % 3 = 0"), "cli"), F.when(F.expr("o_orderkey % 4 = 0"), "config")
-    ignores = F.concat(F.array(F.lit("a")), F.when(config.isNotNull(), F.array(F.lit("b"))).otherwise(F.array().cast("array<string>")))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(cli, config, F.lit("preset")).alias("mode"), F.element_at(ignores, -1).alias("last_ignore"))
+    """The three places of an option merged for each of the twelve kinds of orders."""
+    kinds = []
+    for k in range(12):
+        explicit, found = {"mode": "cli"} if k % 3 == 0 else {}, {"mode": "config", "ignore": ["b"]} if k % 4 == 0 else {}
+        o = config.merged({**explicit, "ignore": ["a"]}, {"mode": "preset", **found})
+        kinds.append((k, o["mode"], sorted(o["ignore"])[-1]))
+    made = spark.createDataFrame(kinds, "k int, mode string, last_ignore string")
+    return table(spark, sf_dir, "orders").withColumn("k", F.expr("CAST(o_orderkey % 12 AS INT)")).join(F.broadcast(made), "k").select("o_orderkey", "mode", "last_ignore")  # twelve rows
+
 
 
 _REASON = "CASE WHEN lang = 'fr' THEN 'ignored' WHEN size > 8000 THEN 'too-large' WHEN doc_id % 50 = 0 THEN 'binary' END"
@@ -176,28 +186,44 @@ _REASON = "CASE WHEN lang = 'fr' THEN 'ignored' WHEN size > 8000 THEN 'too-large
 
 @query("stats_by_reason", f"WITH {CORPUS} SELECT {_REASON} AS reason, count(*) AS files FROM corpus WHERE {_REASON} IS NOT NULL GROUP BY 1")
 def stats_by_reason(spark, sf_dir):
-    return corpus(spark, sf_dir).selectExpr(f"{_REASON} AS reason").where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("files"))
+    return stats.by_reason(corpus(spark, sf_dir).selectExpr(f"{_REASON} AS reason"))
+
 
 
 @query("stats_by_strategy", f"WITH {STRATEGY} SELECT CASE WHEN focused THEN 'focus' ELSE strategy END AS strategy, count(*) AS files FROM strategies GROUP BY 1")
 def stats_by_strategy(spark, sf_dir):
-    return strategies(spark, sf_dir).groupBy(F.when(F.col("focused"), "focus").otherwise(F.col("strategy")).alias("strategy")).agg(F.count("*").alias("files"))
+    return stats.by_strategy(strategies(spark, sf_dir))
+
 
 
-_TOKENS = f"len(regexp_extract_all(original, '{stats.TOKEN}'))"
-COSTS = STRATEGY + f", costs AS (SELECT *, {_TOKENS} AS raw, CASE WHEN strategy = 'full' THEN {_TOKENS} WHEN strategy = 'minified' THEN 8 ELSE {_TOKENS} * 2 // 5 END AS tokens FROM strategies)"
+_COUNT = lambda t: f"len(regexp_extract_all({t}, '{stats.TOKEN}'))"
+_END = "least(length(original), length(array_to_string(string_split(original, chr(10))[1:lines], chr(10))) + 1, chars)"
+COSTS = STRATEGY + f""", c0 AS (SELECT *, CASE strategy WHEN 'skeleton' THEN 10 ELSE 20 END AS lines, CASE strategy WHEN 'skeleton' THEN 1000 ELSE 2000 END AS chars FROM strategies),
+ c1 AS (SELECT *, {_END} AS e, substr(original, 1, {_END}) AS head FROM c0),
+ c2 AS (SELECT *, CASE WHEN NOT contains(head, chr(10)) OR length(head) - length(string_split(head, chr(10))[-1]) <= 1 THEN e ELSE length(head) - length(string_split(head, chr(10))[-1]) END AS z FROM c1),
+ c3 AS (SELECT *, substr(original, 1, z) AS kept, substr(original, z + 1) AS rest FROM c2),
+ c4 AS (SELECT *, len(string_split(rest, chr(10))) - CASE WHEN rest LIKE '%' || chr(10) THEN 1 ELSE 0 END AS more FROM c3),
+ shown AS (SELECT *, CASE WHEN strategy = 'full' OR (strategy <> 'minified' AND e >= length(original)) THEN original WHEN strategy = 'minified' THEN '[minified: ' || CAST(len(string_split(original, chr(10))) AS VARCHAR) || ' lines omitted]'
+  ELSE kept || CASE WHEN kept LIKE '%' || chr(10) THEN '' ELSE chr(10) END || '... [truncated: ' || CAST(more AS VARCHAR) || CASE WHEN more = 1 THEN ' more line, ' ELSE ' more lines, ' END || CAST(length(rest) AS VARCHAR) || ' chars]' || chr(10) END AS content FROM c4),
+ costs AS (SELECT *, {_COUNT('original')} AS raw, {_COUNT('content')} AS tokens FROM shown)"""
 
 
 def costs(spark, sf_dir):
-    """The corpus with raw tokens and the tokens that each strategy leaves (in two fifths for what is cut)."""
-    df = strategies(spark, sf_dir).withColumn("raw", stats.token_proxy(F.col("original")))
-    return df.withColumn("tokens", F.expr("CASE WHEN strategy = 'full' THEN raw WHEN strategy = 'minified' THEN 8L ELSE raw * 2 div 5 END")).drop("original")
+    """The corpus as its strategies show it, with the tokens of what is shown and of the originals. (Source files are cut at 10 lines in place of a skeleton, which SQL can't make.)"""
+    df = strategies(spark, sf_dir)
+    whole = F.col("original")
+    minified = F.concat(F.lit("[minified: "), F.size(F.split(whole, "\n")).cast("string"), F.lit(" lines omitted]"))
+    content = F.when(F.col("strategy") == "full", whole).when(F.col("strategy") == "minified", minified).when(F.col("strategy") == "skeleton", transform.truncated(whole, 10, 1000)).otherwise(transform.truncated(whole, 20, 2000))
+    df = df.withColumn("content", content)
+    return df.withColumn("raw", stats.token_proxy(F.col("original"))).withColumn("tokens", stats.token_proxy(F.col("content"))).drop("original", "content")
 
 
-@query("stats_totals", f"WITH {COSTS} SELECT CAST(sum(tokens) AS BIGINT) AS output, CAST(sum(raw) AS BIGINT) AS baseline, round(greatest(0.0, 1 - CAST(sum(tokens) AS DOUBLE) / CAST(sum(raw) AS DOUBLE)), 9) AS saved, CAST(round(sum(raw) * (CAST(sum(tokens) AS DOUBLE) / sum(raw))) AS BIGINT) AS scaled, count(*) AS files FROM costs")
+@query("stats_totals", f"WITH {COSTS} SELECT CAST(sum(tokens) AS BIGINT) AS output, CAST(sum(raw) AS BIGINT) AS baseline, round(greatest(0.0, 1 - CAST(sum(tokens) AS DOUBLE) / CAST(sum(raw) AS DOUBLE)), 9) AS saved, CAST(round(sum(raw) * (CAST(sum(raw) AS DOUBLE) / sum(tokens))) AS BIGINT) AS scaled, count(*) AS files, CAST(sum(doc_id % 3) AS BIGINT) AS bodies, CAST(sum(doc_id % 5) AS BIGINT) AS comments FROM costs")
 def stats_totals(spark, sf_dir):
-    sums = costs(spark, sf_dir).agg(F.sum("tokens").alias("output"), F.sum("raw").alias("baseline"), F.count("*").alias("files"))
-    return sums.select("output", "baseline", F.round(stats.savings(F.col("output").cast("double"), F.col("baseline").cast("double")), 9).alias("saved"), F.round(F.col("baseline") * (F.col("output") / F.col("baseline"))).cast("long").alias("scaled"), "files")
+    df = costs(spark, sf_dir).withColumn("stripped_bodies", F.expr("CAST(doc_id % 3 AS INT)")).withColumn("stripped_comments", F.expr("CAST(doc_id % 5 AS INT)"))
+    t = stats.totals(df)
+    return t.select("output", "baseline", F.round("saved", 9).alias("saved"), stats.scaled(F.col("baseline"), F.col("output"), F.col("baseline")).alias("scaled"), "files", "bodies", "comments")
+
 
 
 @query("stats_json")
@@ -205,12 +231,13 @@ def stats_json(spark, sf_dir):
     """Totals as one JSON text; flags that are false are left out."""
     t = stats_totals(spark, sf_dir)
     by = stats_by_strategy(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("strategy", "files"))).alias("by"))
-    return t.crossJoin(F.broadcast(by)).select(F.to_json(F.struct("files", F.struct("output", "baseline", "saved").alias("tokens"), F.map_from_entries("by").alias("strategies"), F.nullif(F.lit(False), F.lit(False)).alias("partial"))).alias("json"))
+    return t.crossJoin(F.broadcast(by)).select(F.to_json(F.struct("files", F.struct("output", "baseline", "saved").alias("tokens"), "bodies", "comments", F.map_from_entries("by").alias("strategies"), F.nullif(F.lit(False), F.lit(False)).alias("partial"))).alias("json"))
 
 
 @query("top_files", f"WITH {COSTS} SELECT path, tokens FROM costs ORDER BY tokens DESC, path LIMIT 20")
 def top_files(spark, sf_dir):
-    return costs(spark, sf_dir).select("path", "tokens").orderBy(F.desc("tokens"), "path").limit(20)
+    return stats.largest(costs(spark, sf_dir).select("path", "tokens"), 20)
+
 
 
 _UP = "list_transform(range(0, len(string_split(path, '/'))), lambda k: CASE WHEN k = 0 THEN '.' ELSE array_to_string(string_split(path, '/')[1:k], '/') END)"
@@ -246,10 +273,12 @@ def budget_focus_tokens(spark, sf_dir):
     return costs(spark, sf_dir).agg(F.coalesce(F.sum(F.when(F.col("focused"), F.col("tokens"))), F.lit(0)).alias("focus_tokens"))
 
 
+
 @query("budget_omission_order", f"WITH {COSTS} SELECT path, {_RANK} AS rank, tokens + 12 AS saving, CAST(row_number() OVER (PARTITION BY source ORDER BY {_RANK}, tokens DESC, path) AS INT) AS place FROM costs WHERE NOT focused")
 def budget_omission_order(spark, sf_dir):
-    df = costs(spark, sf_dir).where("NOT focused").withColumn("rank", paths.omission_rank(F.col("path")))
-    return df.select("path", "rank", (F.col("tokens") + fitting.FILE_OVERHEAD).alias("saving"), F.row_number().over(Window.partitionBy("source").orderBy("rank", F.desc("tokens"), "path")).alias("place"))
+    df = costs(spark, sf_dir).where("NOT focused").withColumn("rank", paths.omission_rank(F.col("path"))).withColumn("saving", F.col("tokens") + fitting.FILE_OVERHEAD)
+    return df.select("path", "rank", "saving", F.row_number().over(Window.partitionBy("source").orderBy(*fitting.omission("rank", "saving"))).alias("place"))
+
 
 
 @query("budget_ladder", f"WITH {STRATEGY} SELECT path, CASE WHEN strategy = 'full' AND language IS NULL THEN 'full,skeleton,omitted' WHEN language IS NOT NULL AND strategy = 'full' THEN 'full,skeleton,docs,bare,outline,omitted' WHEN language IS NOT NULL THEN 'skeleton,docs,bare,outline,omitted' ELSE 'skeleton,omitted' END AS levels FROM strategies")
@@ -263,13 +292,26 @@ def budget_prefix(spark, sf_dir):
     return fitting.prefix_until(moves, [F.desc("saving"), F.col("path")], "saving", 2000, within="source").select("source", "path", "saving")
 
 
-@query("budget_plan", f"WITH {COSTS}, m AS (SELECT source, path, tokens AS saving, sum(tokens) OVER (PARTITION BY source) AS total, {_RANK} AS rank FROM costs WHERE NOT focused), s AS (SELECT *, coalesce(sum(saving + 12) OVER (PARTITION BY source ORDER BY rank, saving DESC, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM m) SELECT source, path, CASE WHEN b < total - 3000 THEN 'omitted' ELSE 'kept' END AS action FROM s")
+_PLAN = f"""WITH RECURSIVE {COSTS}, v AS (SELECT path, {_RANK} AS rank, CAST(raw AS BIGINT) AS full_, CAST(tokens AS BIGINT) AS cut, focused FROM costs),
+ s AS (SELECT *, CASE WHEN NOT focused AND cut < full_ THEN cut ELSE full_ END AS now FROM v),
+ g AS (SELECT sum(now + 12) AS size, sum(now + 12) // 4 AS lim FROM s),
+ o AS (SELECT *, coalesce(sum(now + 12) OVER (ORDER BY rank, now + 12 DESC, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM s WHERE NOT focused),
+ gone AS (SELECT o.* FROM o, g WHERE b < size - lim),
+ room AS (SELECT lim - (size - (SELECT coalesce(sum(now + 12), 0) FROM gone)) AS r FROM g),
+ q AS (SELECT path, cut + 12 AS cost, row_number() OVER (ORDER BY rank DESC, cut + 12, path) AS k FROM gone),
+ f AS (SELECT q.k, q.path, CASE WHEN cost <= r THEN r - cost ELSE r END AS r, cost <= r AS taken FROM q, room WHERE k = 1 UNION ALL SELECT q.k, q.path, CASE WHEN cost <= f.r THEN f.r - cost ELSE f.r END, cost <= f.r FROM f JOIN q ON q.k = f.k + 1)
+ SELECT s.path, CASE WHEN f.taken THEN 'skeleton' WHEN f.path IS NOT NULL THEN 'omitted' WHEN NOT focused AND cut < full_ THEN 'skeleton' ELSE 'full' END AS level FROM s LEFT JOIN f ON f.path = s.path"""
+
+
+@query("budget_plan", _PLAN)
 def budget_plan(spark, sf_dir):
-    """The last phase: files go by kind and size until each source fits."""
-    df = costs(spark, sf_dir).where("NOT focused").withColumn("rank", paths.omission_rank(F.col("path")))
-    w = Window.partitionBy("source")
-    before = F.coalesce(F.sum(F.col("tokens") + fitting.FILE_OVERHEAD).over(w.orderBy("rank", F.desc("tokens"), "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.select("source", "path", before.alias("b"), F.sum("tokens").over(w).alias("total")).select("source", "path", F.when(F.col("b") < F.col("total") - 3000, "omitted").otherwise("kept").alias("action"))
+    """The library's fit of whole files, cut files and omitted files to a quarter of what all cut files take."""
+    df = costs(spark, sf_dir).withColumn("rank", paths.omission_rank(F.col("path"))).withColumn("tier", F.when(F.col("focused"), F.lit(None)).otherwise(0).cast("int"))
+    levels = F.array(F.struct(F.lit("full").alias("name"), F.col("raw").cast("long").alias("tokens")), F.struct(F.lit("skeleton").alias("name"), F.col("tokens").cast("long").alias("tokens")), F.struct(F.lit("omitted").alias("name"), F.lit(0).cast("long").alias("tokens")))
+    every = save(df.select("path", "rank", "tier", F.posexplode(levels).alias("level", "x")).select("path", "rank", "tier", "level", "x.name", "x.tokens"))
+    least = every.where("name <> 'omitted'").groupBy("path").agg(F.when(F.first("tier").isNull(), F.max(F.when(F.col("level") == 0, F.col("tokens")))).otherwise(F.min("tokens")).alias("n"))
+    size = least.agg(F.sum(F.col("n") + fitting.FILE_OVERHEAD)).first()[0] or 0
+    return fitting.fit_to_budget(every, size // 4).state.select("path", F.col("name").alias("level"))
 
 
 _ITEMS = f"{COSTS}, items AS (SELECT source, doc_id, tokens + 12 AS cost, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM costs)"
@@ -304,7 +346,8 @@ def merge_spans(spark, sf_dir):
 @query("budget_collapse", "WITH f AS (SELECT user_id, arg_min(event_type, ts) AS was, arg_max(event_type, ts) AS now, count(*) AS changes FROM (SELECT DISTINCT user_id, ts, min(event_type) OVER (PARTITION BY user_id, ts) AS event_type FROM events) e GROUP BY user_id) SELECT user_id, was, now, changes FROM f WHERE was <> now")
 def budget_collapse(spark, sf_dir):
     steps = table(spark, sf_dir, "events").groupBy("user_id", "ts").agg(F.min("event_type").alias("event_type"))
-    return steps.groupBy("user_id").agg(F.min_by("event_type", "ts").alias("was"), F.max_by("event_type", "ts").alias("now"), F.count("*").alias("changes")).where("was <> now")
+    return fitting.collapsed(steps, "user_id", "ts", "event_type")
+
 
 
 # Sets, windows, events
@@ -313,24 +356,30 @@ def budget_collapse(spark, sf_dir):
 @query("set_changed", f"WITH {CORPUS} SELECT path FROM (SELECT path FROM corpus WHERE doc_id % 3 = 0 UNION SELECT path FROM corpus WHERE doc_id % 5 = 0) x INTERSECT SELECT path FROM corpus WHERE lang = 'en'")
 def set_changed(spark, sf_dir):
     files = corpus(spark, sf_dir)
-    return files.where("doc_id % 3 = 0").select("path").union(files.where("doc_id % 5 = 0").select("path")).intersect(files.where("lang = 'en'").select("path"))
+    pick = lambda c: files.where(c).select("path")
+    return remote.changed(pick("doc_id % 3 = 0"), pick("doc_id % 5 = 0"), pick("lang = 'en'"))
+
 
 
 @query("set_except_outputs", f"WITH {CORPUS} SELECT path FROM corpus WHERE NOT regexp_matches(path, 'doc_[0-9]*5\\.(md|json)$')")
 def set_except_outputs(spark, sf_dir):
-    files = corpus(spark, sf_dir).select("path")
-    return files.exceptAll(files.where(F.col("path").rlike(r"doc_[0-9]*5\.(md|json)$")))
+    rules = filters.compile_rules(["doc_*5.md", "doc_*5.json"])
+    return corpus(spark, sf_dir).where(~filters.is_ignored(F.col("path"), rules)).select("path")
+
 
 
 @query("outline_dedupe", "WITH l AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) SELECT conv_id, turn, role FROM l WHERE before IS NULL OR before <> role")
 def outline_dedupe(spark, sf_dir):
-    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, sf_dir, "conversations").withColumn("before", before).where("before IS NULL OR before <> role").select("conv_id", "turn", "role")
+    return parsing.unrepeated(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role").select("conv_id", "turn", "role")
+
 
 
 @query("hint_once", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
 def hint_once(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    from lodestone.streaming.watch import once
+
+    return once(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id")
+
 
 
 _WATCHED = "CASE event_id % 10 WHEN 0 THEN '.git/HEAD' WHEN 1 THEN 'a/node_modules/x.js' WHEN 2 THEN 'out.part2.md' WHEN 3 THEN 'out.md' ELSE concat('src/', user_id, '/', event_type) END"
@@ -355,18 +404,11 @@ def watch_debounce(spark, sf_dir):
 # Rendering
 
 
-@query("render_files", f"WITH {STRATEGY}, b AS (SELECT source, doc_id, '### `' || path || '`' || CASE WHEN focused THEN ' [focus]' WHEN strategy = 'truncated' THEN ' [truncated]' WHEN strategy = 'minified' THEN ' [minified]' WHEN strategy = 'full' AND language IS NOT NULL THEN ' [full]' ELSE '' END || chr(10) || chr(10) || '```' || CASE WHEN path LIKE '%.md' THEN 'markdown' WHEN path LIKE '%.txt' THEN 'text' WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.ts' THEN 'ts' ELSE 'json' END || chr(10) || left(original, 80) || CASE WHEN left(original, 80) LIKE '%' || chr(10) THEN '' ELSE chr(10) END || '```' || chr(10) AS block FROM strategies WHERE strategy <> 'minified') SELECT source, sha1(string_agg(block, chr(10) ORDER BY doc_id)) AS digest FROM b GROUP BY source")
-def render_files(spark, sf_dir):
-    df = strategies(spark, sf_dir).where("strategy <> 'minified'")
-    block = render.markdown_block(F.col("path"), render.note(F.col("strategy"), F.col("focused"), F.col("language")), paths.fence(F.col("path")), F.left("original", F.lit(80)))
-    return render.joined(df.select("source", "doc_id", block.alias("block")), "source", "doc_id", "block").select("source", F.sha1(F.encode("document", "UTF-8")).alias("digest"))
-
-
 _FENCE = "repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(original, '`+'), lambda x: length(x))), 0)))"
 
 
-@query("render_files_whole", ORACLES["render_files"].replace("left(original, 80)", "original").replace("'```'", _FENCE))
-def render_files_whole(spark, sf_dir):
+@query("render_files", f"WITH {STRATEGY}, b AS (SELECT source, doc_id, '### `' || path || '`' || CASE WHEN focused THEN ' [focus]' WHEN strategy = 'truncated' THEN ' [truncated]' WHEN strategy = 'minified' THEN ' [minified]' WHEN strategy = 'full' AND language IS NOT NULL THEN ' [full]' ELSE '' END || chr(10) || chr(10) || {_FENCE} || CASE WHEN path LIKE '%.md' THEN 'markdown' WHEN path LIKE '%.txt' THEN 'text' WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.ts' THEN 'ts' ELSE 'json' END || chr(10) || original || CASE WHEN original LIKE '%' || chr(10) OR original = '' THEN '' ELSE chr(10) END || {_FENCE} || chr(10) AS block FROM strategies WHERE strategy <> 'minified') SELECT source, sha1(string_agg(block, chr(10) ORDER BY doc_id)) AS digest FROM b GROUP BY source")
+def render_files(spark, sf_dir):
     df = strategies(spark, sf_dir).where("strategy <> 'minified'")
     block = render.markdown_block(F.col("path"), render.note(F.col("strategy"), F.col("focused"), F.col("language")), paths.fence(F.col("path")), F.col("original"))
     return render.joined(df.select("source", "doc_id", block.alias("block")), "source", "doc_id", "block").select("source", F.sha1(F.encode("document", "UTF-8")).alias("digest"))
@@ -384,3 +426,47 @@ def render_xml_headers(spark, sf_dir):
  SELECT source, array_to_string(list_transform(string_split(node, '/'), lambda s, i: CASE WHEN is_file AND i = len(string_split(node, '/')) THEN '0' ELSE '1' END || s), '/') AS key, lead || CASE WHEN last THEN '└── ' ELSE '├── ' END || name || CASE WHEN is_file THEN '' ELSE '/' END AS line FROM a""")
 def render_tree(spark, sf_dir):
     return render.tree(corpus(spark, sf_dir).select("source", "path"), "source")
+
+
+@query("render_xml_blocks", f"WITH {STRATEGY} SELECT doc_id, sha1('<file path=\"' || path || '\"' || CASE WHEN language IS NULL THEN '' ELSE ' language=\"' || language || '\"' END || ' strategy=\"' || strategy || '\"' || CASE WHEN focused THEN ' focus=\"true\"' ELSE '' END || '>' || chr(10) || original || CASE WHEN original LIKE '%' || chr(10) OR original = '' THEN '' ELSE chr(10) END || '</file>' || chr(10)) AS digest FROM strategies")
+def render_xml_blocks(spark, sf_dir):
+    df = strategies(spark, sf_dir).withColumn("content", F.col("original")).withColumn("related", F.lit(False))
+    return df.select("doc_id", F.sha1(F.encode(documents.block("xml"), "UTF-8")).alias("digest"))
+
+
+@query("tree_notes", f"WITH {STRATEGY} SELECT path, CASE WHEN focused THEN ' [focus]' WHEN strategy IN ('truncated', 'minified') THEN ' [' || strategy || ']' WHEN strategy = 'full' AND language IS NOT NULL THEN ' [full]' ELSE '' END AS note FROM strategies")
+def tree_notes(spark, sf_dir):
+    """The notes at the ends of the tree's lines."""
+    df = strategies(spark, sf_dir).select("source", "path", render.note(F.col("strategy"), F.col("focused"), F.col("language")).alias("note"))
+    lines = render.tree(df, "source", "note").select(F.regexp_extract("line", r"(doc_[0-9]+\.[a-z]+)", 1).alias("name"), F.regexp_extract("line", r"doc_[0-9]+\.[a-z]+(.*)$", 1).alias("note")).where("name <> ''")
+    return df.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name")).join(lines, "name").select("path", "note")
+
+
+@query("folder_lines", f"WITH {COSTS}, u AS (SELECT unnest(range(1, least(len(string_split(path, '/')), 2) + 1)) AS d, string_split(path, '/') AS p, tokens, raw FROM costs), n AS (SELECT CASE WHEN d = 1 THEN '.' ELSE array_to_string(p[1:d-1], '/') END AS dir, d AS depth, p[d] AS name, sum(tokens) AS tokens, sum(raw) AS raw, count(*) AS files FROM u GROUP BY ALL), t AS (SELECT sum(tokens) AS a FROM costs), k AS (SELECT n.*, n.tokens < a * 0.02 AS small FROM n, t) SELECT dir, CAST(depth AS INT) AS depth, name, CAST(tokens AS BIGINT) AS tokens, CAST(raw AS BIGINT) AS raw, CAST(files AS BIGINT) AS files FROM k WHERE NOT small UNION ALL SELECT dir, CAST(depth AS INT), NULL, CAST(sum(tokens) AS BIGINT), CAST(sum(raw) AS BIGINT), count(*) FROM k WHERE small GROUP BY dir, depth")
+def folder_lines(spark, sf_dir):
+    """Two levels of folders; entries below two hundredths of all tokens are one row of their folder."""
+    return stats.folder_lines(costs(spark, sf_dir).select("path", "tokens", "raw"), 2, 0.02).select("dir", "depth", "name", "tokens", "raw", "files")
+
+
+_RULES = [r for r, _ in transform.SECRET_RULES] + ["assigned-secret"]
+
+
+@query("redactions_by_rule", ORACLES["redact_secrets"].partition(" SELECT doc_id, sha1(t)")[0] + f", n AS (SELECT unnest({_RULES}) AS rule) SELECT rule, CAST(sum(len(regexp_extract_all(t, '\\[REDACTED:' || rule || '\\]'))) AS BIGINT) AS n FROM r, n GROUP BY rule")
+def redactions_by_rule(spark, sf_dir):
+    """How many secrets of each rule all documents hold."""
+    masked = table(spark, sf_dir, "documents").select(F.explode(transform.redactions_by_rule(transform.redacted(F.col("text")))).alias("x"))
+    every = spark.createDataFrame([(r, 0) for r in _RULES], "rule string, n long")
+    return masked.select("x.rule", F.col("x.n").cast("long").alias("n")).union(every).groupBy("rule").agg(F.sum("n").alias("n"))
+
+
+@query("graph_specs", f"WITH {SPECS} SELECT src, CASE WHEN src LIKE '%.ts' THEN 'javascript' ELSE 'python' END AS family, CASE WHEN src LIKE '%.ts' THEN './' || stem ELSE dotted END AS spec FROM specs WHERE src LIKE '%.ts' OR src LIKE '%.py'")
+def graph_specs(spark, sf_dir):
+    text = F.when(F.col("src").endswith(".ts"), F.concat(F.lit("export * from './"), "stem", F.lit("'\n"))).otherwise(F.concat(F.lit("  import "), "dotted", F.lit("\n")))
+    return graph.extract_specs(specs(spark, sf_dir).select(F.col("src").alias("path"), paths.language(F.col("src")).alias("language"), text.alias("text")))
+
+
+@query("cache_counts", f"WITH {CORPUS} SELECT count(*) FILTER (h) AS hits, count(*) FILTER (NOT h) AS misses FROM (SELECT sha1(original) IN (SELECT sha1(original) FROM corpus WHERE doc_id % 3 = 0) AS h FROM corpus) x")
+def cache_counts(spark, sf_dir):
+    from lodestone.plans.files import cache_hit_miss
+
+    return cache.counts(cache_hit_miss(spark, sf_dir))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone import cache as caches
 from lodestone.corpus import CORPUS, corpus, table
 from lodestone.functions import paths
 from lodestone.operators import filters, render, stats, transform
-from lodestone.plans.registry import ORACLES, query
+from lodestone.plans.registry import query
 
 RULES = filters.compile_rules(["src1/", "!src1/en/", "*.json", "!doc_1*.json", "/src2/fr/*.md", "tests/**/doc_?7.txt"]) + filters.compile_rules(["*.py", "!doc_9*"], base="src3", start=100)
 INCLUDE = ["src1", "src2/en/*.md"]
@@ -136,13 +137,8 @@ def content_hash(spark, sf_dir):
     return corpus(spark, sf_dir).select("path", transform.content_key(F.lit("file"), F.lit("skeleton"), F.col("original"), F.lower("path").rlike(paths.PROSE_PATH)).alias("key"))
 
 
-@query("xml_escape", "SELECT doc_id, replace(replace(replace(replace('<\"' || substr(text, 1, 200) || '&>', '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM documents")
+@query("xml_escape", "SELECT doc_id, replace(replace(replace(replace('<\"' || text || '&>', '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM documents")
 def xml_escape(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", transform.attribute(F.concat(F.lit('<"'), F.substring("text", 1, 200), F.lit("&>"))).alias("escaped"))
-
-
-@query("xml_escape_whole", ORACLES["xml_escape"].replace("substr(text, 1, 200)", "text"))
-def xml_escape_whole(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", transform.attribute(F.concat(F.lit('<"'), "text", F.lit("&>"))).alias("escaped"))
 
 
@@ -230,10 +226,10 @@ def cache_hit_miss(spark, sf_dir):
 def cache_retain(spark, sf_dir):
     cache = table(spark, sf_dir, "documents").select("doc_id", F.sha1(F.encode("text", "UTF-8")).alias("key"))
     used = cache.where("doc_id % 4 = 0").select("key").distinct()
-    return cache.select("key").distinct().join(used, "key", "left_semi")
+    return caches.retained(cache.select("key").distinct(), used)
 
 
-_COMMENT = "CASE doc_id % 5 WHEN 0 THEN concat('/* foo(a);', chr(10), ' * return b', chr(10), ' words */') WHEN 1 THEN concat('// if x', chr(10), '// then y') WHEN 2 THEN '# plain words' ELSE substr(text, 1, 300) END"
+_COMMENT = "CASE doc_id % 5 WHEN 0 THEN concat('/* foo(a);', chr(10), ' * return b', chr(10), ' words */') WHEN 1 THEN concat('// if x', chr(10), '// then y') WHEN 2 THEN '# plain words' ELSE text END"
 _BARE = f"regexp_replace(regexp_replace({_COMMENT}, '^\\s*/\\*+', ''), '\\*+/\\s*$', '')"
 _STRIPPED = f"list_filter(list_transform(string_split({_BARE}, chr(10)), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^\\s*(//+|#+|\\*)?', ''), '^\\s+', ''), '\\s+$', '')), lambda x: x <> '')"
 
@@ -243,12 +239,7 @@ def looks_like_code(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", transform.looks_like_code(F.expr(_COMMENT)).alias("code"))
 
 
-@query("looks_like_code_whole", ORACLES["looks_like_code"].replace("substr(text, 1, 300)", "text"))
-def looks_like_code_whole(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", transform.looks_like_code(F.expr(_COMMENT.replace("substr(text, 1, 300)", "text"))).alias("code"))
-
-
-_HEADER = "concat(substr(text, 1, 260), '( a,', chr(10), '  b, )', chr(10), CASE doc_id % 4 WHEN 0 THEN ' = {' WHEN 1 THEN ' where' WHEN 2 THEN ' do begin' ELSE ';' END)"
+_HEADER = "concat(text, '( a,', chr(10), '  b, )', chr(10), CASE doc_id % 4 WHEN 0 THEN ' = {' WHEN 1 THEN ' where' WHEN 2 THEN ' do begin' ELSE ';' END)"
 _ONE = f"regexp_replace(regexp_replace(regexp_replace({_HEADER}, '\\s+', ' ', 'g'), '([(\\[])\\s+', '\\1', 'g'), ',?\\s+([)\\]])', '\\1', 'g')"
 
 
@@ -257,11 +248,6 @@ def tidy_header(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", transform.tidy_header(F.expr(_HEADER)).alias("header"))
 
 
-@query("tidy_header_whole", ORACLES["tidy_header"].replace("substr(text, 1, 260)", "text"))
-def tidy_header_whole(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", transform.tidy_header(F.expr(_HEADER.replace("substr(text, 1, 260)", "text"))).alias("header"))
-
-
 @query("embedded_regions", "SELECT page_id, CAST(u.i AS INT) AS n, r[u.i + 1] AS script FROM (SELECT page_id, regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1) AS r FROM pages) t, LATERAL (SELECT unnest(range(len(r))) AS i) u")
 def embedded_regions(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(transform.script_regions(F.col("html"))).alias("n", "script"))
@@ -290,10 +276,10 @@ def parse_remote(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", *[c.alias(n) for n, c in parts.items()])
 
 
-@query("format_values", "SELECT o_orderkey, format('{:,}', CAST(round(o_totalprice) AS BIGINT)) AS number, CASE WHEN o_totalprice < 1024 THEN CAST(floor(o_totalprice) AS BIGINT) || ' B' WHEN o_totalprice / 1024.0 < 1024 THEN CASE WHEN o_totalprice / 1024.0 < 10 THEN printf('%.1f', round(floor(o_totalprice) / 1024.0, 1)) ELSE printf('%.0f', round(floor(o_totalprice) / 1024.0)) END || ' KB' ELSE 'more' END AS bytes, CASE WHEN (o_orderkey % 100) / 100.0 > 0 AND (o_orderkey % 100) / 100.0 < 0.1 THEN printf('%.1f', round(CAST((o_orderkey % 100) AS DOUBLE), 1)) ELSE printf('%.0f', CAST(o_orderkey % 100 AS DOUBLE)) END || '%' AS pct FROM orders WHERE o_totalprice < 1000000")
+@query("format_values", "SELECT o_orderkey, format('{:,}', CAST(round(o_totalprice) AS BIGINT)) AS number, CASE WHEN o_totalprice < 1024 THEN CAST(floor(o_totalprice) AS BIGINT) || ' B' WHEN o_totalprice / 1024.0 < 1024 THEN CASE WHEN o_totalprice / 1024.0 < 10 THEN printf('%.1f', round(floor(o_totalprice) / 1024.0, 1)) ELSE printf('%.0f', round(floor(o_totalprice) / 1024.0)) END || ' KB' ELSE 'more' END AS bytes, CASE WHEN (o_orderkey % 100) / 100.0 > 0 AND (o_orderkey % 100) / 100.0 < 0.1 THEN printf('%.1f', round(CAST((o_orderkey % 100) AS DOUBLE), 1)) ELSE printf('%.0f', CAST(o_orderkey % 100 AS DOUBLE)) END || '%' AS pct FROM orders")
 def format_values(spark, sf_dir):
     n = F.floor("o_totalprice")
-    return table(spark, sf_dir, "orders").where("o_totalprice < 1000000").select("o_orderkey", stats.number(F.col("o_totalprice")).alias("number"), stats.bytes_text(n).alias("bytes"), stats.percent(F.expr("CAST(o_orderkey % 100 AS DOUBLE) / 100.0D")).alias("pct"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", stats.number(F.col("o_totalprice")).alias("number"), stats.bytes_text(n).alias("bytes"), stats.percent(F.expr("CAST(o_orderkey % 100 AS DOUBLE) / 100.0D")).alias("pct"))
 
 
 _SIZES = "CASE doc_id % 7 WHEN 0 THEN '500' WHEN 1 THEN '500kb' WHEN 2 THEN '1.5MB' WHEN 3 THEN '2m' WHEN 4 THEN ' 3 GiB ' WHEN 5 THEN 'bad' ELSE '12_000k' END"

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone import api
 from lodestone.documents import Options
-from lodestone.operators import parsing, stats
+from lodestone.operators import parsing, stats, transform
 from lodestone.operators.tokens import proxy
 
 PARSE_ERROR, INVALID_REQUEST, NO_METHOD, INVALID_PARAMS, INTERNAL = -32700, -32600, -32601, -32602, -32603
@@ -180,6 +180,7 @@ class Server:
             with open(real, encoding="utf-8", errors="replace") as f:
                 text = f.read().removeprefix("﻿").replace("\r\n", "\n")
             out = parsing.transform_text(real, text, "skeleton", comments, 400, 40_000)
+            out.content = transform.redact_text(out.content)
             got.append((path, out, text))
         rows = self.spark.createDataFrame([(k, o.content, t) for k, (_, o, t) in enumerate(got)], "k int, content string, original string")
         counts = {r["k"]: r for r in rows.select("k", stats.token_proxy(F.col("content")).alias("n"), stats.token_proxy(F.col("original")).alias("raw")).collect()}

@@ -7,7 +7,7 @@ import subprocess
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -96,3 +96,16 @@ def clone(url: str, branch: str | None = None) -> str:
     name = re.sub(r"\.git$", "", url.rstrip("/")).rsplit("/", 1)[-1].rsplit(":", 1)[-1] or "repo"
     git(["clone", "--quiet", "--depth", "1", "--single-branch", "--no-tags", *(["--branch", branch] if branch else []), url, name], folder)
     return f"{folder}/{name}"
+
+
+def latest(history: DataFrame, dirty: DataFrame | None, key: str) -> DataFrame:
+    """The last of the times (key, changed) of each key; infinity for the dirty keys."""
+    rows = history.select(key, F.col("changed").cast("double").alias("changed"))
+    if dirty is not None:
+        rows = rows.union(dirty.select(key, F.lit(float("inf"))))
+    return rows.groupBy(key).agg(F.max("changed").alias("changed"))
+
+
+def changed(differing: DataFrame, untracked: DataFrame, existing: DataFrame) -> DataFrame:
+    """Paths that differ or are untracked, and exist."""
+    return differing.union(untracked).intersect(existing)

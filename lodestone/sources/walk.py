@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lodestone.operators.filters import NOTEBOOK_FACTOR, SIZE_LIMIT, compile_rules, default_patterns, ignored
+from lodestone.operators.filters import NOTEBOOK_FACTOR, SIZE_LIMIT, Rule, compile_rules, default_patterns, ignored
 
 SCHEMA = "path string, size long, reason string, content binary"
 IGNORE_FILES = (".gitignore", ".packignore")
@@ -51,7 +51,30 @@ class TreeReader(DataSourceReader):
         if os.path.isfile(info):
             with open(info, encoding="utf-8", errors="replace") as f:
                 lines += f.read().splitlines()
-        return compile_rules(lines) + compile_rules(_rule_lines(self.root), start=100_000)
+        return compile_rules(lines) + self._above() + compile_rules(_rule_lines(self.root), start=100_000)
+
+    def _above(self) -> list:
+        """Rules of the folders between the root and the repository that it lies in; none if they would hide the root itself."""
+        folders, top = [], self.root
+        while not os.path.isdir(os.path.join(top, ".git")):
+            parent = os.path.dirname(top)
+            if parent == top:
+                return []
+            folders, top = [parent, *folders], parent
+        if not folders:
+            return []
+        lines = {os.path.relpath(f, top).replace(os.sep, "/"): _rule_lines(f) for f in folders}
+        rel = os.path.relpath(self.root, top).replace(os.sep, "/")
+        # As seen from the repository.
+        whole = [r for f, own in lines.items() for r in compile_rules(own, base="" if f == "." else f)]
+        if ignored(rel, whole, True):
+            return []
+        # A rule that is anchored above meets paths below the root by what is left of it.
+        out = []
+        for n, (f, own) in enumerate(lines.items()):
+            for r in compile_rules(own, base="" if f == "." else f, start=50_000 + 1_000 * n):
+                out.append(Rule(r.seq, r.base, r.regex, r.negated, r.dir_only, rel + "/"))
+        return out
 
     def partitions(self) -> list[Entry]:
         # With links followed, one task must see which folder was met first.

@@ -71,3 +71,8 @@ def watch(spark: SparkSession, root: str, rebuild: Callable[[list[tuple[str, str
 
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return ticks.writeStream.foreachBatch(step).trigger(processingTime=interval).start()
+
+
+def once(events: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first event of each key."""
+    return events.groupBy(*keys).agg(F.min(order).alias(order))
