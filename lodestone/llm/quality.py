@@ -215,7 +215,7 @@ def word_distance(shares: dict[str, float], hashes: dict[str, int]) -> Column:
 
 def word_hashes(spark: SparkSession, words: list[str]) -> dict[str, int]:
     """The hashes by which rows name the words of the vocabulary."""
-    return {r[0]: r[1] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w")).collect()}
+    return {r[0]: r[1] for r in spark.range(1).select(F.explode(F.lit(words)).alias("w")).select("w", F.xxhash64("w")).collect()}
 
 
 def word_limit(shares: dict[str, float], max_word: float) -> float:
