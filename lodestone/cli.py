@@ -89,7 +89,8 @@ def own_outputs(root: str, paths: list[str | None]) -> list[str]:
     return out
 
 
-def run_pack(spark: SparkSession, args: argparse.Namespace, out=sys.stdout, err=sys.stderr) -> int:
+def run_pack(spark: SparkSession, args: argparse.Namespace, out=None, err=None) -> int:
+    out, err = out or sys.stdout, err or sys.stderr
     root, name, identity, clone = os.path.abspath(args.root), "", "", None
     try:
         if args.remote:
@@ -160,7 +161,7 @@ def run_pack(spark: SparkSession, args: argparse.Namespace, out=sys.stdout, err=
             shutil.rmtree(Path(clone).parent, ignore_errors=True)
 
 
-def run_tree(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> int:
+def run_tree(spark: SparkSession, args: argparse.Namespace, out=None) -> int:
     result = api.pack(spark, os.path.abspath(args.root), args.mode)
     counted = result.files.select("path", proxy(F.col("content")).alias("tokens"), proxy(F.col("original")).alias("raw"))
     rows = [r.asDict() for r in stats.folder_lines(counted, args.depth, args.min).collect()]
