@@ -16,6 +16,8 @@ from lodestone.llm.runtime import save
 
 #: Shares of a node's neighbours.
 SALTS = 64
+#: Edges in a file of a round.
+ROUND_ROWS = 50_000
 
 
 def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,8 +45,10 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Of edges (a, b): node and component (the least node of its component) of every node that is not the least."""
     now = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     state = None
+    parts = max(1, now.count() // ROUND_ROWS + 1)
     for _ in range(max_rounds):
-        now = save(_star(_star(now, large=True), large=False))
+        # Edges don't grow in number by more than their nodes; a small table needs few files.
+        now = save(_star(_star(now, large=True), large=False).coalesce(parts))
         row = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if state == (row["n"], row["x"]):
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -34,9 +35,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def save(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and cut its lineage there."""
+    """Write ``df`` to the shared folder and cut its lineage there.
+
+    Now and then the driver's collector is asked to run, so that Spark's cleaner drops shuffles and tables of rounds that are over.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if not next(_SAVES) % 8:
+        df.sparkSession._jvm.System.gc()
+    return out
+
+
+_SAVES = itertools.count(1)
 
 
 def ranked(df: DataFrame, keys: list[Column], name: str = "rank", parts: int | None = None) -> tuple[DataFrame, int]:
