@@ -45,12 +45,13 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Of edges (a, b): node and component (the least node of its component) of every node that is not the least."""
     now = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     state = None
-    parts = max(1, now.count() // ROUND_ROWS + 1)
+    parts = None
     for _ in range(max_rounds):
-        # Edges don't grow in number by more than their nodes; a small table needs few files.
-        now = save(_star(_star(now, large=True), large=False).coalesce(parts))
+        # A small table needs few files.
+        stepped = _star(_star(now, large=True), large=False)
+        now = save(stepped.coalesce(parts) if parts else stepped)
         row = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if state == (row["n"], row["x"]):
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = (row["n"], row["x"])
+        state, parts = (row["n"], row["x"]), row["n"] // ROUND_ROWS + 1
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
