@@ -79,7 +79,7 @@ def test_python_skeleton_is_valid_and_stable():
 def test_brace_skeleton():
     text = "export class A {\n  f(a: number) {\n    return '}';\n  }\n}\nfunction g() { if (x) { y(); } }\n"
     got = parsing.skeleton(text, "typescript")
-    assert got.content == "export class A {\n  f(a: number) { /* … */ }\n}\nfunction g() { /* … */ }\n"
+    assert got.content == "export class A {\n  f(a: number) { /* ... */ }\n}\nfunction g() { /* ... */ }\n"
     assert parsing.skeleton(got.content, "typescript").content == got.content
     assert parsing.skeleton("a {", "c").errors
 
@@ -98,11 +98,12 @@ def test_graph_resolution(spark):
 
 
 def test_budget_fits_and_spares_focus(spark):
-    rows = [(f"f{i}", 3, k, n, t, i == 0) for i in range(6) for k, (n, t) in enumerate([("full", 100), ("skeleton", 40), ("outline", 10), ("omitted", 0)])]
-    variants = spark.createDataFrame(rows, "path string, rank int, level int, name string, tokens long, focused boolean")
+    rows = [(f"f{i}", 3, None if i == 0 else 0, k, n, t) for i in range(6) for k, (n, t) in enumerate([("full", 100), ("skeleton", 40), ("outline", 10), ("omitted", 0)])]
+    variants = spark.createDataFrame(rows, "path string, rank int, tier int, level int, name string, tokens long")
     for limit in (600, 400, 200, 120):
-        got = {r["path"]: (r["level"], r["tokens"]) for r in fitting.fit_to_budget(variants, limit).collect()}
-        assert sum(t for _, t in got.values()) <= limit and got["f0"] == (0, 100) and len(got) == 6
+        plan = fitting.fit_to_budget(variants, limit)
+        got = {r["path"]: (r["level"], r["tokens"]) for r in plan.state.collect()}
+        assert plan.fits and sum(t for _, t in got.values()) <= plan.tokens <= limit and got["f0"] == (0, 100) and len(got) == 6
 
 
 def test_split_keeps_order_and_marks_oversized(spark):
@@ -154,11 +155,11 @@ def test_whole_texts_are_escaped_judged_and_rendered(spark, long_texts):
     from lodestone.plans import QUERIES
 
     folder, texts = long_texts
-    got = {r["doc_id"]: r["escaped"] for r in QUERIES["xml_escape_whole"](spark, folder).collect()}
+    got = {r["doc_id"]: r["escaped"] for r in QUERIES["xml_escape"](spark, folder).collect()}
     assert got == {k: html.escape(f'<"{t}&>').replace("&#x27;", "'") for k, t in texts.items()}
-    got = {r["doc_id"]: r["code"] for r in QUERIES["looks_like_code_whole"](spark, folder).collect()}
+    got = {r["doc_id"]: r["code"] for r in QUERIES["looks_like_code"](spark, folder).collect()}
     assert [got[k] for k in (3, 4)] == [True, True]
-    got = {r["doc_id"]: r["header"] for r in QUERIES["tidy_header_whole"](spark, folder).collect()}
+    got = {r["doc_id"]: r["header"] for r in QUERIES["tidy_header"](spark, folder).collect()}
     assert got == {k: re.sub(r"\s+", " ", t)[:239] + "…" for k, t in texts.items()}
     kinds = {0: ("md", "markdown"), 1: ("txt", "text"), 2: ("py", "python"), 3: ("ts", "ts"), 4: ("json", "json")}
     blocks = []
@@ -166,7 +167,7 @@ def test_whole_texts_are_escaped_judged_and_rendered(spark, long_texts):
         path = f"{'tests/' if k % 7 == 0 else ''}src/en/doc_{k}.{kinds[k % 5][0]}"
         said = " [focus]" if k == 0 else "" if k % 5 in (2, 3) else " [truncated]"
         blocks.append(f"### `{path}`{said}\n\n```````{kinds[k % 5][1]}\n{t}```````\n")
-    assert QUERIES["render_files_whole"](spark, folder).collect() == [("src", hashlib.sha1("\n".join(blocks).encode()).hexdigest())]
+    assert QUERIES["render_files"](spark, folder).collect() == [("src", hashlib.sha1("\n".join(blocks).encode()).hexdigest())]
 
 
 def test_parsers_see_whole_texts(spark, tmp_path):
@@ -177,7 +178,7 @@ def test_parsers_see_whole_texts(spark, tmp_path):
     spark.createDataFrame([(k, t, "en", "src", len(t)) for k, t in docs.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     escaped = odd.replace("\\", "\\\\").replace('"', '\\"')
     python = [lambda i: f"# {odd} {i}", lambda i: f'S{i} = "{escaped} {i}"', lambda i: f"def f{i}(a):\n    ...", lambda i: f"class C{i}:\n    def m(self, a):\n        # {odd} {i}\n        ..."]
-    script = [lambda i: f"// {odd} {i}", lambda i: f'const S{i} = "{escaped} {i}";', lambda i: f"function f{i}(a: number) {{ /* … */ }}", lambda i: f"export class C{i} {{\n  m(a: number) {{ /* … */ }}\n}}"]
+    script = [lambda i: f"// {odd} {i}", lambda i: f'const S{i} = "{escaped} {i}";', lambda i: f"function f{i}(a: number) {{ /* ... */ }}", lambda i: f"export class C{i} {{\n  m(a: number) {{ /* ... */ }}\n}}"]
     got = {r["path"].rpartition("_")[2]: r for r in QUERIES["skeleton_counts"](spark, str(tmp_path)).collect()}
     for name, n, lines in (("2.py", 400, python), ("3.ts", 400, script), ("7.py", 9, python), ("8.ts", 10, script)):
         expected = "".join(lines[i % 4](i) + "\n" for i in range(n))
