@@ -1,21 +1,30 @@
-"""Corpus analytics on Spark: trees of text as token-budgeted documents, and what they hold."""
+"""Corpus analytics on Spark: trees of text as token-budgeted documents, and what they hold.
 
-from lodestone import api, cache, config, documents, summary
-from lodestone.api import Pack, fit, markdown, ordered, pack, render, render_part, split, statistics, totals, write
-from lodestone.cache import CacheStore, ParquetCache
-from lodestone.documents import RENDERERS, Options, Part
-from lodestone.operators.fitting import Fit, fit_to_budget, ladder
-from lodestone.operators.graph import dependency_graph, most_imported, related
-from lodestone.operators.parsers import PARSERS, register
-from lodestone.operators.parsing import notebook_script, outline, skeleton, transform_text
-from lodestone.operators.search import search, top_hits
-from lodestone.operators.tokens import library_counter, proxy
-from lodestone.operators.transform import redact_text, redacted
-from lodestone.session import build_session
-from lodestone.sources.remote import changed_files, clone, diff_text, last_changed, parse_spec
-from lodestone.sources.walk import read_tree
+Names are imported when first used, so that worker processes load only the modules that they need.
+"""
 
-__all__ = [
-    "PARSERS", "RENDERERS", "CacheStore", "Fit", "Options", "Pack", "ParquetCache", "Part", "api", "build_session", "cache", "changed_files", "clone", "config", "dependency_graph", "diff_text", "documents", "fit", "fit_to_budget", "ladder", "last_changed", "library_counter", "markdown",
-    "most_imported", "notebook_script", "ordered", "outline", "pack", "parse_spec", "proxy", "read_tree", "redact_text", "redacted", "register", "related", "render", "render_part", "search", "skeleton", "split", "statistics", "summary", "top_hits", "totals", "transform_text", "write",
-]
+from importlib import import_module
+
+_HOMES = {
+    "api": "Pack fit markdown ordered pack render render_part split statistics totals variants write",
+    "cache": "CacheStore ParquetCache",
+    "documents": "RENDERERS Options Part",
+    "operators.fitting": "Fit fit_to_budget ladder",
+    "operators.graph": "dependency_graph most_imported related",
+    "operators.parsers": "PARSERS register",
+    "operators.parsing": "notebook_script outline skeleton transform_text",
+    "operators.search": "search top_hits",
+    "operators.tokens": "library_counter proxy",
+    "operators.transform": "redact_text redacted",
+    "session": "build_session",
+    "sources.remote": "changed_files clone diff_text last_changed parse_spec",
+    "sources.walk": "read_tree",
+}
+_HOME = {name: home for home, names in _HOMES.items() for name in names.split()}
+__all__ = sorted(_HOME)
+
+
+def __getattr__(name: str):
+    if name in _HOME:
+        return getattr(import_module(f"lodestone.{_HOME[name]}"), name)
+    raise AttributeError(f"module 'lodestone' has no attribute {name!r}")

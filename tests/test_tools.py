@@ -304,3 +304,11 @@ def test_formats(spark):
     assert tuple(row)[:4] == ("950", "1.2k", "12k", "1.3M") and row["e"] in ("$0.1234", "$0.1235") and row["f"] in ("$12.34", "$12.35")
     assert (summary.short(1234), summary.percent(0.05), summary.part_file("a/out.md", 2)) == ("1.2k", "5.0%", "a/out.part2.md")
     assert parsers.tidy("def f(\n    a,\n) :") == "def f(a)"
+
+
+def test_names_of_the_package():
+    import lodestone
+
+    assert all(getattr(lodestone, name) is not None for name in lodestone.__all__)
+    with pytest.raises(AttributeError):
+        lodestone.nothing
