@@ -36,6 +36,12 @@ class Pack:
     hits: DataFrame | None = None
     edges: DataFrame | None = None
     cached: DataFrame | None = None
+    source: DataFrame | None = None
+
+    def release(self) -> None:
+        """Let go of the files' contents, which are kept from the scan on."""
+        if self.source is not None:
+            self.source.unpersist()
 
 
 def focus_targets(root: str, focus: list[str], cwd: str | None = None) -> tuple[list[str], list[str]]:
@@ -93,7 +99,7 @@ def pack(
         files = files.drop("related").join(near.select(F.col("node").alias("path"), F.lit(True).alias("_n")), "path", "left").withColumn("related", F.coalesce("_n", F.lit(False))).drop("_n").withColumn("focused", F.col("focused") | F.col("related"))
     out, used = shown(files, mode, comments, redact, max_lines, max_chars, cache)
     times = spark.createDataFrame([*remote.last_changed(root).items()], "path string, changed double") if order == "stable" else None
-    result = Pack(root, mode, ordered(out, order, times), tree.where("reason IS NOT NULL").select("path", "reason", "size"), comments, redact, outside, hits, edges, used)
+    result = Pack(root, mode, ordered(out, order, times), tree.where("reason IS NOT NULL").select("path", "reason", "size"), comments, redact, outside, hits, edges, used, tree)
     if cache is not None and used is not None:
         cache.save(used.select("key", *CACHED))
     return result

@@ -20,6 +20,7 @@ from lodestone.operators import stats, transform
 from lodestone.operators.tokens import library_counter, proxy
 from lodestone.session import build_session
 from lodestone.sources import remote
+from lodestone.streaming.watch import watch
 
 #: Options of a pack: flag, key in the configuration, how it is read.
 _FLAGS = [
@@ -48,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
     pack.add_argument("--no-cache", action="store_true")
     pack.add_argument("--dry-run", action="store_true", help="write nothing")
     pack.add_argument("--quiet", action="store_true")
+    pack.add_argument("--watch", action="store_true", help="pack again whenever something changes")
     tree = commands.add_parser("tree", help="show where the tokens are")
     tree.add_argument("root", nargs="?", default=".")
     tree.add_argument("--depth", type=int, default=3)
@@ -152,6 +154,7 @@ def run_pack(spark: SparkSession, args: argparse.Namespace, out=None, err=None)
             print(summary.summary(told, ", ".join(written) or ("standard output" if o.get("stdout") else "nothing written"), result.mode, int(o.get("top", 10)), plan, sizes, hits, summary.wants_color(stream)), file=stream)
         if os.environ.get("GITHUB_OUTPUT") or os.environ.get("GITHUB_STEP_SUMMARY"):
             summary.report(told, written, os.environ.get("GITHUB_OUTPUT"), os.environ.get("GITHUB_STEP_SUMMARY"))
+        result.release()
         return 0 if plan is None or plan.fits else 2
     except (config.ConfigError, ValueError) as e:
         print(f"error: {e}", file=err)
@@ -190,4 +193,16 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
 
         serve(Server(spark, args.roots))
         return 0
-    return run_pack(spark, args)
+    code = run_pack(spark, args)
+    if args.watch and code != 1 and not args.remote:
+        # Each rebuild reads the options, what changed since a reference, and the cache anew.
+        watching(spark, args).awaitTermination()
+    return code
+
+
+def watching(spark: SparkSession, args: argparse.Namespace, interval: str = "1 second"):
+    """The running query that packs again after changes below the root; stop it to end the watch."""
+    root = os.path.abspath(args.root)
+    o, _ = settings(args, root, os.getcwd())
+    target = os.path.abspath(o.get("output", f"packed.{EXTENSION[o.get('format', 'markdown')]}"))
+    return watch(spark, root, lambda _: run_pack(spark, args), interval, os.path.relpath(target, root).replace(os.sep, "/"))

@@ -312,3 +312,29 @@ def test_names_of_the_package():
     assert all(getattr(lodestone, name) is not None for name in lodestone.__all__)
     with pytest.raises(AttributeError):
         lodestone.nothing
+
+
+def test_parts_that_are_measured_too_large_hand_files_on(spark):
+    rows = [(0, 1, 40), (1, 1, 50), (2, 1, 30), (3, 2, 70), (4, 2, 20), (5, 3, 500)]
+    got = fitting.fixed_parts(spark.createDataFrame(rows, "ord long, part int, tokens long"), 110, 10, 10).orderBy("ord").collect()
+    parts = {r["ord"]: r["part"] for r in got}
+    assert [parts[k] for k in sorted(parts)] == sorted(parts.values()) and parts[0] == parts[1] == 1 and parts[2] == 2
+    sizes = {p: 10 + sum(t for k, _, t in rows if parts[k] == p) for p in parts.values()}
+    assert all(n <= 110 or sum(parts[k] == p for k in parts) == 1 for p, n in sizes.items() if p < parts[5])
+
+
+def test_watching_packs_again(spark, tree, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    args = cli.parser().parse_args(["pack", str(tree), "--output", "w.md", "--quiet", "--no-cache", "--watch"])
+    query = cli.watching(spark, args, "500 milliseconds")
+    try:
+        time.sleep(2)
+        (tree / "src" / "late.py").write_text("x = 1\n")
+        for _ in range(120):
+            if (tmp_path / "w.md").exists() and "late.py" in (tmp_path / "w.md").read_text():
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+        (tree / "src" / "late.py").unlink()
+    assert "### `src/late.py`" in (tmp_path / "w.md").read_text()
