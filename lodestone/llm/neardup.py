@@ -8,13 +8,12 @@ if 100 * intersection >= ``percent`` * union.
    minima (a byte of each is kept as a sketch) and a key for each band of ``ROWS`` minima. At the
    similarity 0.85 a pair shares no band with a probability below 1e-6.
 2. Equal sets (equal digests) become one node, named by a hash of the digest, so copies cost nothing further on.
-3. Bands met by two or more nodes are buckets. A bucket pairs its members with its least member only
-   (linear in its size; over all bands a node meets few different hubs). Sketches drop
+3. Bands met by two or more nodes are buckets. A bucket pairs its members only with three of its own, the
+   least, the greatest and the least by a hash (linear in its size; over all bands a node meets few different hubs). Sketches drop
    pairs that are far below the threshold (at 0.85, by more than seven standard deviations);
    the others are verified on the full sets made from the whole texts. A hub's sketch and text go to as many
-   tasks as its buckets have thousands of members (``HUB_SHARE`` members a share).
-4. Buckets of more than ``WIDE`` members that are then not all in one component choose other hubs, by a hash, for the members of other
-   components (``TURNS`` times at most). Buckets that even then hold several are compared in full, but
+   tasks as its buckets have shares of ``HUB_SHARE`` members.
+4. Buckets whose members are then not all in one component are compared in full, but
    only between components, inside tasks of bounded size (a large bucket is cut into
    blocks, a task for each pair of blocks), and only pairs near the threshold leave
    a task. These are verified too. Nothing is capped, and no group emits all its pairs.
@@ -43,8 +42,6 @@ BANDS, ROWS = 32, 6
 BLOCK = 1024
 #: Members of a bucket that share one copy of the hub.
 HUB_SHARE = 512
-#: Further hubs of buckets that hold several components.
-TURNS, WIDE = 3, 128
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
@@ -273,41 +270,28 @@ def _grouped(docs: DataFrame, percent: int, words: int, id_col: str, text_col: s
     nodes = save(own.dropDuplicates(["node"]).select("node", F.col("first.doc_id").alias("doc_id"), "digest", "n_shingles", "sketch", "bands"))
     # Buckets that two or more nodes share.
     exploded = nodes.select(F.explode("bands").alias("bucket"), "node")
-    shared = exploded.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("size")).where("hub < top").select("bucket", "hub", "size")
-    members = save(exploded.join(shared, "bucket").select("bucket", "node", "hub", "size"))
+    shared = exploded.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min_by("node", F.xxhash64("node")).alias("mid"), F.count("*").alias("size")).where("lo < hi")
+    members = save(exploded.join(shared, "bucket").select("bucket", "node", "lo", "mid", "hi", "size"))
     sketches = nodes.select("node", "n_shingles", "sketch")
-    # A bucket's hub is its least member, so a pair has one hub; of several buckets the largest counts.
-    stars = save(members.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.max("size").alias("size")).withColumn("hub", F.col("a")))
-    tried = save(near_pairs(stars, sketches, percent).join(stars.select("a", "b", "size"), ["a", "b"]))
+    met = members.select("node", "size", F.explode(F.array("lo", "mid", "hi")).alias("hub")).where("node <> hub")
+    # A pair has one hub; of several buckets the largest counts.
+    stars = save(met.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.max("size").alias("size"), F.min("hub").alias("hub")))
+    tried = save(near_pairs(stars, sketches, percent).drop("hub").join(stars, ["a", "b"]).select("a", "b", "hub", "size"))
     links = save(verified(tried, _texts(plain, nodes, tried), percent, words))
     label = components(links)
-    turn = 0
-    while True:
-        # Buckets that still hold several components.
-        labelled = members.join(label, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("any")).where("x < y").select("bucket", F.col("any.node").alias("hub"), F.col("any.component").alias("hub_component"))
-        open_ = save(labelled.join(mixed, "bucket"))
-        wide = open_.where((F.col("size") > WIDE) & (F.col("component") != F.col("hub_component")))
-        again = turn < TURNS and not wide.isEmpty()
-        if again:
-            # Another hub for each wide bucket, met by the members of other components: linear again.
-            fresh = wide.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.max("size").alias("size"), F.min("hub").alias("hub"))
-            stars = save(fresh.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-            near = save(near_pairs(stars, sketches, percent).drop("hub").join(stars, ["a", "b"]).select("a", "b", "hub", "size"))
-        else:
-            more = save(cross_pairs(open_.join(sketches, "node").select("bucket", "node", "n_shingles", "sketch", "component", "size"), percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-            # The end that stands in more pairs is the hub, and how often it does decides into how many shares its pairs fall.
-            ends = more.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-            both = more.join(ends.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(ends.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-            near = both.select("a", "b", F.when(F.col("na") >= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("hub"), F.greatest("na", "nb").alias("size"))
+    # Buckets that still hold several components.
+    labelled = members.join(label, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
+    open_ = save(labelled.join(mixed, "bucket").join(sketches, "node").select("bucket", "node", "n_shingles", "sketch", "component", "size"))
+    more = save(cross_pairs(open_, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        # The end that stands in more pairs is the hub, and how often it does decides into how many shares its pairs fall.
+        ends = more.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+        both = more.join(ends.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(ends.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+        near = both.select("a", "b", F.when(F.col("na") >= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("hub"), F.greatest("na", "nb").alias("size"))
         found = save(verified(near, _texts(plain, nodes, near), percent, words))
         if not found.isEmpty():
-            links = links.union(found)
-            label = components(links)
-        if not again:
-            break
-        tried = tried.select("a", "b").union(near.select("a", "b"))
-        turn += 1
+            label = components(links.union(found))
     linked = classes.join(label, "node", "left").select(*KEY, F.coalesce("component", "node").alias("component"), F.col("first.doc_id").alias("doc_id"))
     least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = save(linked.join(least, "component").select(*KEY, "component_id"))
