@@ -50,12 +50,12 @@ CLASSES = ("upper", "lower", "number", "mark", "symbol", "white")
 
 def words_of(text: Column) -> Column:
     """The words of a text: runs of anything but ASCII white space."""
-    return F.filter(F.split(text, WHITE), lambda w: w != "")
+    return F.array_remove(F.split(text, WHITE), "")
 
 
 def bare_words(text: Column) -> Column:
     """The words of a text in lower case, parted at white space and the usual marks."""
-    return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D.,;:'\"()\-]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D.,;:'\"()\-]+"), "")
 
 
 def letterless(word: Column) -> Column:
@@ -95,40 +95,48 @@ def repeated_words(words: Column) -> Column:
     return let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(covered(w)))
 
 
+def after(array: Column) -> Column:
+    """An array without its first element: zipped with the array, each element meets its successor, and the last a null."""
+    return F.slice(array, 2, F.size(array))
+
+
 def class_counts(text: Column) -> Column:
     """Characters of each class in a text: a struct of longs, with ``chars`` (all) and ``noted`` (``[#*$%&|<>]``).
 
-    One pass writes A, a and 0 for upper-case and lower-case letters and digits; the other classes are counted in the little that is left without these.
+    Most characters are plain lower-case letters and go first, then white space; A, a and 0 are written for the other upper-case and lower-case letters and digits.
     """
 
     def lost(x: Column, pattern: str) -> Column:
         return F.length(x) - F.length(F.regexp_replace(x, pattern, ""))
 
-    def counts(masked: Column) -> Column:
-        rest = F.regexp_replace(masked, "[Aa0]+", "")
-
-        def inner(s: Column) -> Column:
-            solid = s["solid"]
-            upper, number = (F.length(masked) - F.length(F.replace(masked, F.lit(x), F.lit(""))) for x in "A0")
-            parts = {
-                "upper": upper, "number": number, "lower": F.length(masked) - F.length(s["rest"]) - upper - number, "white": F.length(s["rest"]) - F.length(solid),
-                "mark": lost(solid, MARKS), "symbol": lost(solid, SYMBOLS), "noted": lost(solid, r"[#*$%&|<>]+"), "chars": F.length(masked),
-            }
-            return F.struct(*[c.cast("long").alias(n) for n, c in parts.items()])
+    def counts(s: Column) -> Column:
+        marked, rest = s["marked"], s["rest"]
+        upper, number = (F.length(marked) - F.length(F.replace(marked, F.lit(x), F.lit(""))) for x in "A0")
+        parts = {
+            "upper": upper, "number": number, "lower": s["plain"] + F.length(marked) - F.length(rest) - upper - number, "white": s["chars"] - s["plain"] - F.length(marked),
+            "mark": lost(rest, MARKS), "symbol": lost(rest, SYMBOLS), "noted": lost(rest, r"[#*$%&|<>]+"), "chars": s["chars"],
+        }
+        return F.struct(*[c.cast("long").alias(n) for n, c in parts.items()])
 
-        return let(let(rest, lambda r: F.struct(r.alias("rest"), F.regexp_replace(r, WHITE, "").alias("solid"))), inner)
+    def split(s: Column) -> Column:
+        marked = F.mask(F.regexp_replace(s["other"], WHITE, ""), F.lit("A"), F.lit("a"), F.lit("0"), F.lit(None))
+        return let(marked, lambda m: F.struct(m.alias("marked"), F.regexp_replace(m, "[Aa0]+", "").alias("rest"), s["chars"].alias("chars"), (s["chars"] - F.length(s["other"])).alias("plain")))
 
-    return let(F.mask(text, F.lit("A"), F.lit("a"), F.lit("0"), F.lit(None)), counts)
+    return let(let(F.struct(F.length(text).alias("chars"), F.regexp_replace(text, "[a-z]+", "").alias("other")), split), counts)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Of each language over all its documents: how often each word with a letter occurs (lang, word, n), all words without one as ``LETTERLESS``, and the characters of each class as a blank and its name."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), text.alias("_text")).withColumn("_c", class_counts(F.col("_text")))
-    words = F.transform(bare_words(F.col("_text")), lambda w: F.struct(F.when(letterless(w), LETTERLESS).otherwise(w).alias("word"), F.lit(1).cast("long").alias("n")))
-    # A class goes as a word that no text can hold: it begins with a blank.
-    classes = F.array(*[F.struct(F.lit(f" {c}").alias("word"), F.col("_c")[c].alias("n")) for c in (*CLASSES, "chars")])
-    pairs = rows.select("lang", F.inline(F.concat(words, classes)))
+    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_c", class_counts(F.col("_text")))
+    # A class goes as a word that no text can hold: it begins with a blank, and its count follows another.
+    classes = F.array(*[F.concat(F.lit(f" {c} "), F.col("_c")[c].cast("string")) for c in (*CLASSES, "chars")])
+    word = F.col("_word")
+    tag = F.startswith(word, F.lit(" "))
+    pairs = rows.select("lang", F.explode(F.concat(bare_words(F.col("_text")), classes)).alias("_word")).select(
+        "lang",
+        F.when(tag, F.substring_index(word, " ", 2)).when(letterless(word), LETTERLESS).otherwise(word).alias("word"),
+        F.when(tag, F.substring_index(word, " ", -1).cast("long")).otherwise(1).alias("n"),
+    )
     return pairs.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -151,26 +159,28 @@ def js_terms(p: Column, q: Column) -> Column:
 
 def with_counts(df: DataFrame, text: str, vocabulary: list[str]) -> DataFrame:
     """Add the base counts, the class counts and the counts of the vocabulary's words (by their hashes) of a non-null text column."""
-    df = df.withColumn("_words", words_of(F.col(text))).withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))).withColumn("_bare", bare_words(F.col(text))).withColumn("_c", class_counts(F.col(text)))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
+    df = df.withColumn("_words", words_of(F.col(text))).withColumn("_solid", F.array_join("_words", "")).withColumn("_lines", lines).withColumn("_bare", bare_words(F.col(text))).withColumn("_c", class_counts(F.col("_solid")))
     known = lambda w: w.isin(vocabulary)
     listed = F.transform(F.filter("_bare", lambda w: known(w) | letterless(w)), lambda w: F.xxhash64(F.when(known(w), w).otherwise(LETTERLESS))) if vocabulary else F.array().cast("array<bigint>")
     df = df.select(
         "*",
         F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.col("_c.chars").alias("word_chars"),
         F.col("_c.noted").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_words")).cast("long").alias("n_repeat_words"),
-        *[F.col(f"_c.{c}").alias(f"_{c}") for c in (*CLASSES, "chars")],
+        *[F.col(f"_c.{c}").alias(f"_{c}") for c in CLASSES if c != "white"],
+        F.length(text).cast("long").alias("_chars"),
         F.size("_bare").cast("long").alias("_n"),
         F.sort_array(listed).alias("_listed"),
-    ).drop("_words", "_lines", "_bare", "_c")
-
-    def runs(s: Column) -> Column:
-        ends = F.filter(F.transform(s, lambda w, k: F.struct(w.alias("w"), (k + 1).alias("at"))), lambda x: ~F.get(s, x["at"]).eqNullSafe(x["w"]))
-        return let(ends, lambda e: F.transform(e, lambda x, k: F.struct(x["w"].alias("w"), (x["at"] - F.coalesce(F.get(e, k - 1)["at"], F.lit(0))).cast("double").alias("n"))))
-
-    return df.withColumn("_common", runs(F.col("_listed"))).drop("_listed")
+    ).drop("_words", "_solid", "_lines", "_bare", "_c")
+    df = df.withColumn("_white", F.col("_chars") - F.col("word_chars"))
+    # Of each run in the sorted hashes the place behind its end, and from that its length.
+    ends = F.transform(F.zip_with("_listed", after(F.col("_listed")), lambda x, y: x == y), lambda same, k: F.when(~F.coalesce(same, F.lit(False)), k + 1))
+    lengths = let(F.filter(ends, lambda x: x.isNotNull()), lambda e: F.zip_with(e, F.concat(F.array(F.lit(0)), F.slice(e, 1, F.greatest(F.size(e) - 1, F.lit(0)))), lambda x, y: x - y))
+    runs = F.zip_with(F.array_distinct("_listed"), lengths, lambda w, n: F.struct(w.alias("w"), n.cast("double").alias("n")))
+    return df.withColumn("_common", runs).drop("_listed")
 
 
 def references(counts: DataFrame, top: DataFrame, min_words: int = MIN_REFERENCE_WORDS) -> dict[str, tuple[dict[str, float], dict[str, float]]]:

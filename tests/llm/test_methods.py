@@ -234,6 +234,24 @@ def test_quality_equals_a_plain_computation(spark):
             assert abs(r["word_distance"] - a) < 1e-5 and abs(r["class_distance"] - b) < 1e-5 and r["near_lang"] == lang and r["kept"] == (worst <= 1)
 
 
+def test_quality_counts_words_in_compiled_code(spark):
+    """No lambda runs for each word of the counting pass, and its sums are those of a count character by character."""
+    text = "Über  12 Äpfel,\tÉté | ΟΔΟΣ ж٣ 漢字😀 a_b {x} -- 7%\r\n"
+    df = spark.createDataFrame([(1, text * 3, "de"), (2, None, "de"), (3, "", "de"), (4, " a ", "de"), (5, text, None)], "doc_id long, text string, lang string")
+    counts = quality.word_counts(df)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(" in plan and "filter(split(" not in plan
+    got = {r["word"]: r["n"] for r in counts.collect()}
+    t = text * 3 + " a "
+    want = {" upper": sum(c.isupper() for c in t), " lower": sum(c.islower() for c in t), " number": sum(c.isdigit() for c in t), " mark": sum(c in ".,;:'\"()-" for c in t)}
+    want |= {" symbol": sum(c in "#*$%&|<>!?=_/\\+~^@[]{}`" for c in t), " white": sum(c in " \t\n\x0b\x0c\r" for c in t), " chars": len(t)}
+    words = [w for w in re.split(r"[\x20\x09-\x0D.,;:'\"()\-]+", t.lower()) if w]
+    for w in words:
+        k = w if re.search(r"[^\W\d_]", w) else ""
+        want[k] = want.get(k, 0) + 1
+    assert got == want
+
+
 def test_likeness_of_fingerprints_is_that_of_their_leaves(spark):
     df = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
     rows = fingerprints.fingerprints_of_edits(df).orderBy("doc_id").collect()
