@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths, words
+from lodestone.operators.transform import let
 
 K1, B, PATH_BONUS = 1.2, 0.75, 1.5
 
@@ -29,15 +31,29 @@ def path_weight(path):
     return F.when(paths.language(path).isNull(), 0.4).when(F.lower(path).rlike(paths.TEST_PATH), 0.7).otherwise(1.0)
 
 
+def head(term: str) -> str:
+    """What every word begins with whose stem matches a term loosely: it shares four letters with it or equals it, and its last letter may be a y for ``ies``."""
+    return term[: 3 if len(term) >= 4 else len(term) - term.endswith("y")]
+
+
+def alike(found: Column, terms: list[str]) -> Column:
+    """The stems of those words of a list that begin like a term."""
+    heads = {head(t) for t in terms}
+    begins = lambda w: reduce(Column.__or__, [F.left(w, F.lit(n)).isin([h for h in heads if len(h) == n]) for n in sorted({len(h) for h in heads})])
+    return F.transform(F.filter(found, begins), words.stem)
+
+
 def term_counts(files: DataFrame, terms: list[str]) -> DataFrame:
     """Files (path, text, weight) with, for each term, how often it is in the text (``tf``) and whether it is in the path (``there``), and their words (``len``).
 
-    Each text is split once; what is kept is a few numbers a file, so statistics and scores are both taken from the saved rows.
+    Each text is split once, and only its words that begin like a term are stemmed and compared; what is kept is a few numbers a file, so statistics and
+    scores are both taken from the saved rows.
     """
     listed = F.array(*[F.lit(t) for t in terms])
-    split = files.select("path", "weight", words.words(F.col("text")).alias("body"), words.words(F.col("path")).alias("own"))
-    tf = F.transform(listed, lambda t: F.size(F.filter("body", lambda w: words.loosely(t, w))))
-    there = F.transform(listed, lambda t: F.exists("own", lambda w: words.loosely(t, w)))
+    split = files.select("path", "weight", words.plain_words(F.col("text")).alias("body"), words.plain_words(F.col("path")).alias("own"))
+    # Bound by let: in a lambda over the terms the optimizer would put the whole expression, to be taken anew for each.
+    tf = let(alike(F.col("body"), terms), lambda ws: F.transform(listed, lambda t: F.size(F.filter(ws, lambda w: words.loosely(t, w)))))
+    there = let(alike(F.col("own"), terms), lambda ws: F.transform(listed, lambda t: F.exists(ws, lambda w: words.loosely(t, w))))
     return split.select("path", "weight", tf.alias("tf"), there.alias("there"), (F.size("body") + 1).alias("len")).persist()
 
 
